@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F, types as T
+
+# Executors get the functions of this module by value and need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _code_points(words: list[str]) -> np.ndarray:
@@ -33,7 +39,7 @@ def _distances(left: list[str], right: list[str]) -> np.ndarray:
     return table[lengths[0], lengths[1], np.arange(n)]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _osa(left: pd.Series, right: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(left), dtype="Int32", index=left.index)
     present = left.notna() & right.notna()

@@ -47,7 +47,7 @@ def fuzzy_candidates(queries: DataFrame, dictionary: DataFrame, max_distance: in
     Both sides are distinct words. They meet on variants (an equi-join, never all pairs); pairs
     are de-duplicated before distances are computed.
     """
-    prefix = max(7, max_distance + 1)
+    prefix = max(7, 3 * max_distance + 1)  # long enough for variants to be selective
 
     def exploded(df: DataFrame, word: str, *others: str) -> DataFrame:
         variants = F.explode(delete_variants(F.col(word), max_distance, prefix))

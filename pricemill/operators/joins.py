@@ -49,9 +49,11 @@ def lookup_join(
     return joined.select(*[F.col(c) for c in rows.columns], *answers)
 
 
-def salted_match(rows: DataFrame, table: DataFrame, key: str, spread: Column, salts: int = 32) -> DataFrame:
+def salted_match(
+    rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, salts: int = 32
+) -> DataFrame:
     """Inner join to a table that is much smaller than ``rows``: the table is repeated once per
     salt, so the rows of one key are dealt over ``salts`` tasks. No counting pass is needed."""
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_table, [key, "_salt"]).drop("_salt")
+    return salted_rows.join(salted_table, [*keys, "_salt"]).drop("_salt")
