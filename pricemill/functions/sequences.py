@@ -19,8 +19,9 @@ def remove_words(tokens: Column, words: Sequence[str]) -> Column:
 def _ngrams_of(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    # single elements are read at once; slice() would copy the whole array for every n-gram
+    starts = F.sequence(F.lit(0), F.size(tokens) - n)
+    grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
