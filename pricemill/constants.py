@@ -93,3 +93,20 @@ BRAND_RANK_LAST = 200
 
 # Characters of a brand word.
 BRAND_WORD = "[a-z0-9*/+\\-'’?!.,|&%®™ôèéü]+"
+
+# Penalties: of the ridge (on the sum of squares), of the sparse linear learner and of the
+# factorisation machine with its number of factors and passes; and the search intervals.
+RIDGE_ALPHA = 0.4
+RIDGE_MAX_ITER = 200
+LINEAR_L1 = 1.4562387067658935e-06
+LINEAR_L2 = 0.26754419523908257
+LINEAR_L1_RANGE = (0.000001, 0.0001)
+LINEAR_L2_RANGE = (0.01, 5.0)
+FM_FACTORS = 247
+FM_L2 = 0.018493058691917252
+FM_INIT = 0.02883106077640207
+FM_ITERATIONS = 8
+
+# Least number of train rows of an n-gram, minus one.
+NAME_TRAIN_DF = 2
+DESCRIPTION_TRAIN_DF = 6
