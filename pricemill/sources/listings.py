@@ -63,8 +63,13 @@ def listings(spark: SparkSession, sf_dir: str, with_description: bool = True) ->
         .otherwise(F.col("text"))
         .alias("item_description")
     )
+    # Rows are narrow before the join and carry whole texts after it, so the number of partitions
+    # is fixed here: adaptive execution would merge them by their size before. A sort-merge join
+    # needs this very exchange, so it costs nothing extra.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         parts.withColumn("doc_id", F.col("p_partkey") % n_documents)
+        .repartition(partitions, "doc_id")
         .join(documents.select("doc_id", "text"), "doc_id", "left")
         .select(*columns, description)
     )
