@@ -37,13 +37,17 @@ def lookup_join(
     else:
         hot = table.where(F.col(weight) * share > table.agg(F.sum(weight)).scalar())
     hot = hot.select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
-    cold = table.select(F.col(key).cast("string").alias("_cold_key"), F.struct(*values).alias("_cold"))
+    cold_key = F.col(key).cast("string")
+    cold = table.select(
+        cold_key.alias("_cold_key"), F.xxhash64(cold_key).alias("_cold_hash"), F.struct(*values).alias("_cold")
+    )
     is_hot = F.col("_hot_key").isNotNull()
     dealt = F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string"))
     joined = (
         rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_key", F.when(is_hot | F.col(key).isNull(), dealt).otherwise(F.col(key).cast("string")))
-        .join(cold, F.col("_key") == F.col("_cold_key"), "left")
+        # the hash comes first: sorting by a number is cheaper than by texts with common beginnings
+        .join(cold, (F.xxhash64("_key") == F.col("_cold_hash")) & (F.col("_key") == F.col("_cold_key")), "left")
     )
     answers = [F.when(is_hot, F.col("_hot")[v]).otherwise(F.col("_cold")[v]).alias(v) for v in values]
     return joined.select(*[F.col(c) for c in rows.columns], *answers)
