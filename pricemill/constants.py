@@ -98,6 +98,7 @@ BRAND_WORD = "[a-z0-9*/+\\-'’?!.,|&%®™ôèéü]+"
 # factorisation machine with its number of factors and passes; and the search intervals.
 RIDGE_ALPHA = 0.4
 RIDGE_MAX_ITER = 200
+RIDGE_TOLERANCE = 0.01
 LINEAR_L1 = 1.4562387067658935e-06
 LINEAR_L2 = 0.26754419523908257
 LINEAR_L1_RANGE = (0.000001, 0.0001)

@@ -9,6 +9,8 @@ from pricemill.constants import (
     NAME_TRAIN_DF,
     PRICE_CEILING,
     PRICE_FLOOR,
+    RIDGE_MAX_ITER,
+    RIDGE_TOLERANCE,
     VOCABULARY_SIZE,
 )
 from pricemill.functions.numeric import target_to_price
@@ -39,10 +41,15 @@ def tfidf_rows(raw: DataFrame, slots: int = M.MODEL_SLOTS, impute: bool = True)
     return M.tfidf_vectors(vectors)
 
 
-def ridge_prices(raw: DataFrame, slots: int = M.MODEL_SLOTS, max_iter: int = 200) -> DataFrame:
+def ridge_prices(
+    raw: DataFrame,
+    slots: int = M.MODEL_SLOTS,
+    max_iter: int = RIDGE_MAX_ITER,
+    tol: float = RIDGE_TOLERANCE,
+) -> DataFrame:
     """``(row_id, price)`` of the test rows by ridge regression on TF-IDF features."""
     rows = tfidf_rows(raw, slots)
-    model = M.fit_ridge(rows.where("split = 'train'"), max_iter=max_iter)
+    model = M.fit_ridge(rows.where("split = 'train'"), max_iter=max_iter, tol=tol)
     predictions = M.predict(model, rows.where("split = 'test'"), "ridge")
     return predictions.select("row_id", target_to_price(F.col("pred"), floor=0.0).alias("price"))
 
