@@ -59,11 +59,13 @@ def frequency_join(
     row_id: str = "row_id",
     sentinel: str = MISSING,
     counted: DataFrame | None = None,
+    measure: bool = True,
 ) -> DataFrame:
     """Add ``<column>_frec``: how many rows share the value; the sentinel counts as zero.
-    ``counted`` may give the same rows by a cheaper plan (fewer joins) to count from."""
+    ``counted`` may give the same rows by a cheaper plan (fewer joins) to count from;
+    ``measure``: see :func:`lookup_join`."""
     counts = key_counts(df if counted is None else counted, column, "_n").withColumn("_frequency", F.col("_n"))
-    joined = lookup_join(df, counts, column, F.col(row_id), weight="_n")
+    joined = lookup_join(df, counts, column, F.col(row_id), weight="_n", measure=measure)
     frequency = F.when(F.col(column) == sentinel, F.lit(0)).otherwise(F.col("_frequency")).cast("bigint")
     return joined.withColumn(f"{column}_frec", frequency).drop("_frequency")
 
@@ -79,7 +81,8 @@ def seen_in_train(df: DataFrame, column: str) -> DataFrame:
 
 def mask_unseen(df: DataFrame, column: str, row_id: str = "row_id", sentinel: str = MISSING) -> DataFrame:
     """Values that no train row has become the sentinel."""
-    joined = lookup_join(df, seen_in_train(df, column), column, F.col(row_id), weight="_n")
+    seen = seen_in_train(df, column)
+    joined = lookup_join(df, seen, column, F.col(row_id), weight="_n", measure=True)
     return joined.withColumn(column, F.when(F.col("_seen"), F.col(column)).otherwise(sentinel)).drop("_seen")
 
 
@@ -108,7 +111,7 @@ def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None, row
     """Add ``lb_<column>``."""
     codes = label_codes(df, column) if codes is None else codes
     table = codes.select(column, "n", F.col("code").alias(f"lb_{column}"))
-    return lookup_join(df, table, column, F.col(row_id), weight="n")
+    return lookup_join(df, table, column, F.col(row_id), weight="n", measure=True)
 
 
 def encoded_sizes(df: DataFrame, columns: Iterable[str]) -> DataFrame:

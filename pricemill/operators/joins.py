@@ -8,12 +8,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 # hot keys, whatever the data, and their part of the table may be broadcast.
 HOT_SHARE = 1000
 
+# A measured table is broadcast whole up to this many rows and characters of keys.
+BROADCAST_ROWS = 200_000
+BROADCAST_CHARACTERS = 20_000_000
+
 
 def key_counts(rows: DataFrame, key: str, name: str = "n") -> DataFrame:
     """Rows per non-null key."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
+def fits_broadcast(table: DataFrame, key: str) -> bool:
+    """Measure a table (one job over it) against the broadcast bounds."""
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.col(key).cast("string"))).alias("c")).first()
+    return size["n"] <= BROADCAST_ROWS and (size["c"] or 0) <= BROADCAST_CHARACTERS
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -21,6 +31,7 @@ def lookup_join(
     spread: Column,
     weight: str | None = None,
     share: int = HOT_SHARE,
+    measure: bool = False,
 ) -> DataFrame:
     """Left join ``rows`` to ``table`` (unique on ``key``), appending the table's other columns.
 
@@ -28,8 +39,14 @@ def lookup_join(
     the rest, rows with a hot or null key get a key made from ``spread`` (any column that varies
     within a key) and so are dealt out evenly. Every row is kept and every key is answered.
     ``weight`` names the table column that holds the rows per key; without it they are counted.
+
+    With ``measure`` the table's size is taken first; if it is within the broadcast bounds the rows
+    are not shuffled at all. Worth a job when rows carry whole texts and the table is cheap to make.
     """
     values = [c for c in table.columns if c not in (key, weight)]
+    if measure and fits_broadcast(table, key):
+        small = table.select(F.col(key).alias("_table_key"), *values)
+        return rows.join(F.broadcast(small), F.col(key) == F.col("_table_key"), "left").drop("_table_key")
     if weight is None:
         counts = key_counts(rows, key, "_n")
         hot_counts = counts.where(F.col("_n") * share > counts.agg(F.sum("_n")).scalar())

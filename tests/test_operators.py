@@ -121,6 +121,8 @@ def test_lookup_join_with_a_hot_key(spark, weighted, broadcast):
             rows, table if weighted else table.drop("n"), "key", F.col("row_id"), "n" if weighted else None, share=10
         )
         wanted = rows.join(table.drop("n"), "key", "left").select("row_id", "key", "v")
+        small = joins.lookup_join(rows, table.drop("n"), "key", F.col("row_id"), measure=True)
+        assert sorted(small.collect(), key=lambda r: r.row_id) == sorted(wanted.collect(), key=lambda r: r.row_id)
         assert sorted(got.collect(), key=lambda r: r.row_id) == sorted(wanted.collect(), key=lambda r: r.row_id)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
