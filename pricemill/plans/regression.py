@@ -38,7 +38,7 @@ def tfidf_rows(raw: DataFrame, slots: int = M.MODEL_SLOTS, impute: bool = True)
     priced = raw.where((F.col("split") == "test") | (F.col("price") > 0))
     rows = with_target(lowered_listings(priced.fillna({"shipping": 0, "item_condition_id": 1}), impute))
     vectors = M.stage(M.hashed_vectors(rows, all_blocks(tfidf_blocks()), slots))
-    return M.tfidf_vectors(vectors)
+    return M.stage(M.tfidf_vectors(vectors))
 
 
 def ridge_prices(
@@ -59,7 +59,8 @@ def weighted_rows(raw: DataFrame, slots: int = M.MODEL_SLOTS) -> DataFrame:
     cleaned = separated_description(clean_listings(raw))
     known = mask_unseen(mask_unseen(cleaned, "category_name"), "brand_name")
     vectors = M.stage(M.hashed_vectors(with_target(known), all_blocks(weighted_blocks()), slots))
-    return M.train_pruned_vectors(vectors, vectors.where("split = 'train'"), NAME_TRAIN_DF)
+    # staged again: a fit runs many short jobs, and each would ship the whole plan with its factors
+    return M.stage(M.train_pruned_vectors(vectors, vectors.where("split = 'train'"), NAME_TRAIN_DF))
 
 
 def pooled_rows(raw: DataFrame, vocabulary: int = VOCABULARY_SIZE) -> DataFrame:
@@ -83,14 +84,19 @@ def fit_pooled_embedding(rows: DataFrame, size: int = 32, max_iter: int = 3) ->
 
 
 def blended_prices(
-    raw: DataFrame, weights: dict[str, float], slots: int = M.MODEL_SLOTS, factors: int = 8, vector_size: int = 32
+    raw: DataFrame,
+    weights: dict[str, float],
+    slots: int = M.MODEL_SLOTS,
+    factors: int = 8,
+    vector_size: int = 32,
+    max_iter: int = 50,
 ) -> DataFrame:
     """``(row_id, price)`` of the test rows: a linear learner, a factorisation machine and pooled
     embeddings, blended on the log scale, taken back to prices and clamped."""
     sparse, pooled = weighted_rows(raw, slots), pooled_rows(raw)
     train, test = sparse.where("split = 'train'"), sparse.where("split = 'test'")
     parts = {
-        "linear": M.predict(M.fit_elastic_net(train), test, "linear"),
+        "linear": M.predict(M.fit_elastic_net(train, max_iter=max_iter), test, "linear"),
         "factorisation": M.predict(M.fit_factorisation_machine(train, factors), test, "factorisation"),
         "embedding": M.predict(
             fit_pooled_embedding(pooled, vector_size), pooled.where("split = 'test'"), "embedding"
