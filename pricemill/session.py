@@ -1,8 +1,9 @@
-"""Session defaults and the reliable-checkpoint helper."""
+"""Session defaults, and intermediate tables in the shared work folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,23 +24,29 @@ def build_session(app_name: str = "pricemill", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; only a session without one
-    (a local run, a test) gets a temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pricemill-checkpoint-"))
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, shared by the driver and all executors.
+
+    It is the one the cluster names in ``spark.checkpoint.dir``; only a local session without that
+    setting (a test) gets a temporary folder, once per session.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="pricemill-work-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/pricemill-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as parquet to the work folder and continue from the written table.
 
-    Used where an iterative fit or several passes would recompute an expensive plan; the copy
-    outlives lost executors because it does not sit on them.
+    Used where several passes would recompute an expensive plan. The table outlives lost executors
+    because it does not sit on them, keeps file statistics, and later reads take only the columns
+    they need. The tables of an application lie in one folder, to be removed when it has ended.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
