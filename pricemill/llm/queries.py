@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricemill.catalog.registry import Catalog
 from pricemill.llm.line_dedup import build_index, drop_repeated_lines
+from pricemill.llm.packing import pack
 from pricemill.llm.quality_rules import rule_cascade
 from pricemill.llm.sharding import shard_by_bytes
 
@@ -101,6 +103,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@LLM.query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    pieces = pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), PATTERN)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @LLM.query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_by_bytes(documents(spark, sf_dir).select("doc_id", "text"))
