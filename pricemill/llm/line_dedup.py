@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pricemill.llm.columns import free
 from pricemill.session import stage
 
 # What is stripped from both ends of a line, and the letters that are lower-cased.
@@ -268,6 +269,7 @@ def drop_repeated_lines(
     holds it, there with all its repetitions. Rows without an id keep all lines. A document that
     loses all lines gets an empty text.
     """
+    docs = free(docs, "kept_text", "n_lines", "n_dropped")
     repeated = index.counts.where("refs >= 2").select("shard", "key", "first_doc")
     drops = (
         index.holders.join(repeated, ["shard", "key"]).where("doc_id <> first_doc")

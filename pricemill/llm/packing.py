@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pricemill.llm.columns import free
 from pricemill.llm.spans import text_chunks
 from pricemill.llm.tokens import Encoder
 from pricemill.session import stage
@@ -227,6 +228,7 @@ def pack(
     of their tokens. All sequences are full but the last. A null text is an empty one, of the end
     id alone; a null source counts as ''. Every row is packed, also repeated ones.
     """
+    docs = free(docs, "doc_tokens", "start", "length", "sequence_id", "offset", "ids")
     tokens = tokenize(docs, tokenizer, ranks, pattern, text, source)
     sums = tokens.groupBy("_llm_source").agg(F.sum("doc_tokens").alias("n"))
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0

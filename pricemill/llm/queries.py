@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricemill.catalog.registry import Catalog
 from pricemill.llm.line_dedup import build_index, drop_repeated_lines
+from pricemill.llm.near_dedup import near_duplicates
 from pricemill.llm.packing import pack
 from pricemill.llm.quality_rules import rule_cascade
 from pricemill.llm.sharding import shard_by_bytes
@@ -18,6 +19,39 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+OP3_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(
+           range(1, greatest(2, len(words) - 3)), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+  FROM docs
+),
+posted AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_
+  FROM posted a JOIN posted b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (SELECT a, b FROM common WHERE 100 * both_ >= 85 * (na + nb - both_)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM docs
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, min(r.seen) AS component_id, min(r.seen) = s.doc_id AS kept
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.shingles
+"""
+
+
+@LLM.query("op3_minhash_near_dedup", OP3_SQL)
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 OP4_SQL = """
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 spread AS (
