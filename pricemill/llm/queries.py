@@ -11,6 +11,7 @@ from pricemill.llm.near_dedup import near_duplicates
 from pricemill.llm.packing import pack
 from pricemill.llm.quality_rules import rule_cascade
 from pricemill.llm.sharding import shard_by_bytes
+from pricemill.llm.warc import read_archives, write_archives
 
 LLM = Catalog()
 
@@ -146,6 +147,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+),
+latest AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM latest
+"""
+
+
+@LLM.query("op8_warc", OP8_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @LLM.query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_by_bytes(documents(spark, sf_dir).select("doc_id", "text"))
