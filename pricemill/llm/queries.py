@@ -10,6 +10,7 @@ from pricemill.llm.line_dedup import build_index, drop_repeated_lines
 from pricemill.llm.near_dedup import near_duplicates
 from pricemill.llm.packing import pack
 from pricemill.llm.quality_rules import rule_cascade
+from pricemill.llm.secret_scan import find_secrets, span_text
 from pricemill.llm.sharding import shard_by_bytes
 from pricemill.llm.warc import read_archives, write_archives
 
@@ -168,6 +169,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@LLM.query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans"),
+    )
+
+
 @LLM.query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_by_bytes(documents(spark, sf_dir).select("doc_id", "text"))
