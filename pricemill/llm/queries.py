@@ -6,6 +6,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricemill.catalog.registry import Catalog
+from pricemill.llm.decontaminate import FLANK, LEAST_PERCENT, LEAST_TOKENS, MASKS, STRIDE, contamination
 from pricemill.llm.line_dedup import build_index, drop_repeated_lines
 from pricemill.llm.near_dedup import near_duplicates
 from pricemill.llm.packing import pack
@@ -148,6 +149,48 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _seed_sql(words: str, at: str) -> str:
+    """The seeds at a position as texts: no hash is needed to compare them."""
+    kept = lambda mask: ", ".join(f"{words}[{at} + {i}]" for i, bit in enumerate(mask) if bit == "1")
+    return "[" + ", ".join(f"concat_ws(' ', '{n}', {kept(mask)})" for n, mask in enumerate(MASKS)) + "]"
+
+
+OP6_SQL = rf"""
+WITH doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+),
+item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words
+  FROM benchmark
+),
+doc_spots AS (SELECT doc_id, words, unnest(range(1, len(words) - {len(MASKS[0]) - 2}, {STRIDE})) AS spot FROM doc_words),
+item_spots AS (
+  SELECT item_id, words, unnest(range(1, len(words) - {len(MASKS[0]) - 2})) AS spot FROM item_words
+  WHERE len(words) >= {LEAST_TOKENS}
+),
+doc_seeds AS (SELECT doc_id, words, spot, unnest({_seed_sql("words", "spot")}) AS seed FROM doc_spots),
+item_seeds AS (SELECT item_id, words, spot, unnest({_seed_sql("words", "spot")}) AS seed FROM item_spots),
+met AS (
+  SELECT d.doc_id, i.item_id, d.spot,
+         list_transform(list_filter(range(-{FLANK}, {len(MASKS[0]) + FLANK}), lambda o:
+             d.spot + o >= 1 AND d.spot + o <= len(d.words) AND i.spot + o >= 1 AND i.spot + o <= len(i.words)),
+           lambda o: d.words[d.spot + o] = i.words[i.spot + o]) AS same
+  FROM doc_seeds d JOIN item_seeds i ON d.seed = i.seed
+),
+scored AS (SELECT doc_id, item_id, spot, len(same) AS n, len(list_filter(same, lambda x: x)) AS equal FROM met)
+SELECT doc_id, item_id, count(DISTINCT spot) AS hits, max(equal) AS overlap
+FROM scored WHERE n >= {LEAST_TOKENS} AND 100 * equal >= {LEAST_PERCENT} * n
+GROUP BY doc_id, item_id
+"""
+
+
+@LLM.query("op6_decontamination", OP6_SQL)
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+
+
 OP8_SQL = """
 WITH sized AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
