@@ -13,6 +13,7 @@ from pricemill.llm.packing import pack
 from pricemill.llm.quality_rules import rule_cascade
 from pricemill.llm.secret_scan import find_secrets, span_text
 from pricemill.llm.sharding import shard_by_bytes
+from pricemill.llm.toxicity import toxicity, training_fold
 from pricemill.llm.warc import read_archives, write_archives
 
 LLM = Catalog()
@@ -22,6 +23,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@LLM.query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return scored.select(
+        "doc_id", (training_fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 OP3_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
