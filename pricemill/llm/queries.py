@@ -10,6 +10,7 @@ from pricemill.llm.decontaminate import FLANK, LEAST_PERCENT, LEAST_TOKENS, MASK
 from pricemill.llm.line_dedup import build_index, drop_repeated_lines
 from pricemill.llm.near_dedup import near_duplicates
 from pricemill.llm.packing import pack
+from pricemill.llm.pseudonyms import pseudonymize_texts
 from pricemill.llm.quality_rules import rule_cascade
 from pricemill.llm.secret_scan import find_secrets, span_text
 from pricemill.llm.sharding import shard_by_bytes
@@ -201,6 +202,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
 
 
+@LLM.query("op7_pseudonyms")
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a key of the demonstration; real ones come from a secret store
+    return pseudonymize_texts(documents(spark, sf_dir).select("doc_id", "text"), b"pricemill demonstration key")
+
+
 OP8_SQL = """
 WITH sized AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
