@@ -11,14 +11,16 @@
    merged; pairs that met in a short list are looked up in them by comparing signatures.
 4. Matches are confirmed on the full sets.
 
-Long lists come from large groups of copies. Their pairs are not all made: first each list is tied
-to one class of it (two times, with another choice), and components are formed from confirmed
-links. Only pairs of a list that are still in different components are then compared with each
-other, so components are exactly those of all confirmed matches.
+Long lists come from large groups of copies. Their pairs are not all made. Each list is first
+tied to one class of it, and components are formed from the confirmed links. Lists that still hold
+several components are merged in blocks: a task holds two blocks of a list with longer
+signatures of one byte per coordinate, and only pairs from different components with enough collisions
+leave it. So components are exactly those of all confirmed matches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +33,11 @@ from pricemill.llm.spans import SpanHasher, mix, text_chunks, words
 from pricemill.session import stage
 
 SHINGLE = 5
+# Coordinates under which classes are posted, and those of the longer signatures.
 COORDINATES = 64
-# Chance that two sets of exactly the wanted similarity have fewer collisions, at 64 coordinates:
-# 2.4e-6 for 40 of 64 at 0.85, 1.3e-6 for 35 of 64 at 0.8.
-MATCHES = {85: 40, 80: 35}
+LONG_COORDINATES = 512
+# Rows of a list that a task compares with as many others.
+BLOCK = 4096
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,9 +46,21 @@ LOWER[65:91] += 32
 
 _random = np.random.default_rng(20)
 WORD_FACTORS = _random.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FACTORS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDENDS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
-FAMILY = (FACTORS[:, None], ADDENDS[:, None], np.uint64(32))
+
+
+def _family(size: int) -> tuple[np.ndarray, np.ndarray]:
+    factors = _random.integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors[:, None], _random.integers(1, 1 << 63, size, dtype=np.uint64)[:, None]
+
+
+SHORT, LONG = _family(COORDINATES), _family(LONG_COORDINATES)
+
+
+def least_matches(percent: int, coordinates: int) -> int:
+    """Collisions that a pair of this similarity has, but for a chance of a few in a million: five
+    standard deviations below the mean."""
+    p = percent / 100
+    return math.floor(coordinates * p - 5 * math.sqrt(coordinates * p * (1 - p)))
 
 
 def shingle_sets(column: pa.Array, hasher: SpanHasher) -> Iterator[np.ndarray]:
@@ -68,12 +83,12 @@ def shingle_sets(column: pa.Array, hasher: SpanHasher) -> Iterator[np.ndarray]:
             yield np.unique(mix(sums))
 
 
-def _signature(shingles: np.ndarray) -> np.ndarray:
-    factors, addends, shift = FAMILY
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[None, at : at + 2048]
-        np.minimum(least, ((part * factors + addends) >> shift).min(axis=1), out=least)
+def _signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    factors, addends = family
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        part = shingles[None, at : at + 1024]
+        np.minimum(least, ((part * factors + addends) >> np.uint64(32)).min(axis=1), out=least)
     return least.astype("<u4")
 
 
@@ -88,7 +103,7 @@ def _summaries(text_at: int):
                 with np.errstate(over="ignore"):
                     halves = (int(own.sum(dtype=np.uint64)), int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
                 keys.append(b"".join(h.to_bytes(8, "little") for h in (*halves, len(own))))
-                signatures.append(_signature(own).tobytes() if len(own) else None)
+                signatures.append(_signature(own, SHORT).tobytes() if len(own) else None)
             rest = [c for i, c in enumerate(batch.columns) if i != text_at]
             names = [n for i, n in enumerate(batch.schema.names) if i != text_at]
             made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())]
@@ -98,11 +113,15 @@ def _summaries(text_at: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, shingles)."""
+    """(id, text) to (id, shingles, long signature of one byte per coordinate)."""
     hasher = SpanHasher()
     for batch in batches:
-        sets = [own.tobytes() for own in shingle_sets(batch.column(1), hasher)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = list(shingle_sets(part.column(1), hasher))
+            long = [_signature(own, LONG).astype(np.uint8).tobytes() for own in sets]
+            made = [part.column(0), pa.array([own.tobytes() for own in sets], pa.binary()), pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["id", "shingles", "long"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,17 +138,55 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matched(needed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b, signature of a, signature of b) to the pairs with enough collisions."""
+        """(a, b, long signature of a, long signature of b) to the pairs with enough collisions."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, COORDINATES) for i in (2, 3))
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, LONG_COORDINATES) for i in (2, 3))
             enough = pa.array((one == two).sum(axis=1) >= needed)
             yield batch.select(["a", "b"]).filter(enough)
 
     return run
 
 
+def _met_in_blocks(needed: int):
+    """Rows (value, unit, id, part, own, long), sorted by value and unit, to pairs (a, b): each row with
+    ``own`` meets the unit's other rows of different parts, and pairs with enough collisions leave."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch | None:
+        ids, parts, own = (rows.column(c).to_numpy() for c in ("id", "part", "own"))
+        long = np.frombuffer(b"".join(rows.column("long").to_pylist()), np.uint8).reshape(-1, LONG_COORDINATES)
+        others = np.flatnonzero(~own)
+        a, b = [], []
+        for i in np.flatnonzero(own):
+            to = others[parts[others] != parts[i]]
+            met = ids[to[(long[to] == long[i]).sum(axis=1) >= needed]]
+            a.append(np.minimum(met, ids[i]))
+            b.append(np.maximum(met, ids[i]))
+        if not a:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None  # rows of a unit that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([waiting, table]) if waiting is not None else table
+            value, unit = rows.column("value").to_numpy(), rows.column("unit").to_numpy()
+            edges = np.flatnonzero((value[1:] != value[:-1]) | (unit[1:] != unit[:-1])) + 1
+            starts = [0, *edges.tolist()]
+            for low, high in zip(starts[:-1], starts[1:], strict=True):
+                if (made := pairs(rows.slice(low, high - low))) is not None:
+                    yield made
+            waiting = rows.slice(starts[-1])
+        if waiting is not None and (made := pairs(waiting)) is not None:
+            yield made
+
+    return run
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, shingles of a, shingles of b) to the pairs that are similar enough."""
@@ -155,46 +212,57 @@ def _prefix_lists(classes: DataFrame, needed: int) -> DataFrame:
     return own.where(F.size("own") >= needed).select("id", F.explode(rare).alias("v")).select(F.col("v.value"), "id")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that collide often enough and whose full sets are similar enough."""
-    ids = "a bigint, b bigint"
-    side = lambda table, name, value, as_: table.select(F.col("id").alias(name), F.col(value).alias(as_))
-    signed = pairs.join(side(classes, "a", "_llm_signature", "sa"), "a").join(side(classes, "b", "_llm_signature", "sb"), "b")
-    met = stage(signed.select("a", "b", "sa", "sb").mapInArrow(_matched(needed), ids), "matches")
-    full = met.join(side(sets, "a", "shingles", "sa"), "a").join(side(sets, "b", "shingles", "sb"), "b")
-    return stage(full.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), ids), "confirmed")
+def _with(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with a column of both classes."""
+    side = lambda name, as_: sets.select(F.col("id").alias(name), F.col(value).alias(as_))
+    return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb")
 
 
-def _with_component(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Lists with each class's component; lists inside one component are done and left out."""
-    if parts is None:
-        return lists.withColumn("part", F.col("id"))
-    placed = lists.join(parts.withColumnRenamed("node", "id"), "id", "left")
-    placed = stage(placed.select("value", "id", F.coalesce("component", "id").alias("part")), "lists")
-    open_ = placed.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    return placed.join(open_.select("value"), "value", "left_semi")
+def _collide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    needed = least_matches(percent, LONG_COORDINATES)
+    return _with(pairs, sets, "long").mapInArrow(_matched(needed), "a bigint, b bigint")
 
 
-def _tied(lists: DataFrame, choice: Column) -> DataFrame:
-    """Pairs of each class with the one class of the list that ``choice`` puts first."""
-    hub = lists.groupBy("value").agg(F.min_by(F.struct("id", "part"), choice).alias("hub"))
-    tied = lists.join(hub, "value").where("part <> hub.part")
-    return tied.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    met = stage(pairs.distinct(), "matches")
+    return stage(_with(met, sets, "shingles").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "confirmed")
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs of a list that are still in different components: at least one of the two lies outside
-    the list's largest component, so only those meet the rest of the list."""
-    parts = lists.groupBy("value", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("value").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-    outside = lists.join(largest, "value").where("part <> largest").select("value", F.col("id").alias("own"), F.col("part").alias("own_part"))
-    pairs = lists.join(outside, "value").where("part <> own_part")
-    return pairs.select(F.least("id", "own").alias("a"), F.greatest("id", "own").alias("b")).distinct()
+def _tied(lists: DataFrame) -> DataFrame:
+    """Pairs of each class with the least class of its list."""
+    hubs = lists.groupBy("value").agg(F.min("id").alias("hub"))
+    return lists.join(hubs, "value").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text", matches: int | None = None
-) -> DataFrame:
+def _across(lists: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with enough collisions from lists that hold several components.
+
+    At least one of such a pair lies outside the list's largest component, so those rows alone meet
+    the others. Both are dealt into blocks, and each pair of blocks is a unit of work.
+    """
+    placed = lists.join(parts.withColumnRenamed("node", "id"), "id", "left")
+    placed = stage(placed.select("value", "id", F.coalesce("component", "id").alias("part")), "lists")
+    sizes = placed.groupBy("value", "part").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("value").agg(
+        F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most")
+    ).where("all > most")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    dealt = placed.join(open_, "value").withColumns(
+        {"wide": blocks(F.col("all")), "high": blocks(F.col("all") - F.col("most")), "h": F.xxhash64("id")}
+    )
+    at = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+    spread = lambda own, unit: F.struct(F.lit(own).alias("own"), unit.cast("int").alias("unit"))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: spread(False, i * F.col("wide") + at("wide")))
+    as_own = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda j: spread(True, at("high") * F.col("wide") + j))
+    both = F.when(F.col("part") != F.col("largest"), F.concat(as_other, as_own)).otherwise(as_other)
+    units = dealt.select("value", "id", "part", F.explode(both).alias("u")).select("value", "u.unit", "id", "part", "u.own")
+    filled = units.join(sets.select("id", "long"), "id").select("value", "unit", "id", "part", "own", "long")
+    sorted_ = filled.repartition("value", "unit").sortWithinPartitions("value", "unit")
+    return sorted_.mapInArrow(_met_in_blocks(least_matches(percent, LONG_COORDINATES)), "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns but the text, and ``n_shingles``, ``component_id`` and ``kept`` (the id is its component's).
 
     Words are separated by ASCII white space, A-Z count as a-z. A text of fewer than five words has
@@ -203,7 +271,6 @@ def near_duplicates(
     smallest id reachable by links. Rows without an id are linked with nothing and kept, with a null
     component. Of rows with one id and different texts each follows the links of its own text.
     """
-    needed = matches or MATCHES[percent]
     spark = docs.sparkSession
     docs = free(docs, "n_shingles", "component_id", "kept")
     made = spark.createDataFrame([], "n_shingles bigint, _llm_set binary, _llm_signature binary").schema
@@ -215,21 +282,16 @@ def near_duplicates(
         .agg(F.min(F.col(key).cast("bigint")).alias("id"), F.first("_llm_signature").alias("_llm_signature")),
         "classes",
     )
-    lists = stage(_prefix_lists(classes, needed), "lists")
+    lists = stage(_prefix_lists(classes, least_matches(percent, COORDINATES)), "lists")
     chosen = stage(lists.select("id").distinct(), "listed")
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_llm_text"))
     sets = stage(
-        texts.join(chosen, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary").distinct(), "shingle-sets"
+        texts.join(chosen, "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary, long binary").distinct(),
+        "shingle-sets",
     )
-    signed = stage(classes.join(chosen, "id", "left_semi").select("id", "_llm_signature"), "signatures")
-
-    links, parts = None, None
-    for choice in (F.col("id"), F.xxhash64("value", "id"), None):
-        open_ = _with_component(lists, parts)
-        pairs = _across(open_) if choice is None else _tied(open_, choice)
-        found = _verify(pairs, signed, sets, needed, percent)
-        links = found if links is None else links.unionByName(found)
-        parts = components(links)
+    links = _confirm(_collide(_tied(lists), sets, percent), sets, percent)
+    more = _confirm(_across(lists, components(links), sets, percent), sets, percent)
+    parts = components(links.unionByName(more))
     named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("_llm_set").alias("_llm_class"), F.coalesce("component", "id").alias("_llm_component")
     )
