@@ -3,8 +3,9 @@
 A seed is a hash of the tokens that a fixed mask keeps; the masks ignore some positions, so a
 replaced token there does not hide an overlap. Benchmark items give a seed at every position and
 documents at every ``STRIDE``-th one, which loses no exact overlap that is longer than a seed by the
-stride. Documents' seeds that a test seed equals are joined, and around each hit the aligned tokens are
-compared one by one.
+stride. Seeds of documents take the tokens around them along, so the texts are read once and
+not shuffled; they are joined on their hashes, and around each hit the aligned tokens are compared one by
+one. A table of bits of bounded size keeps seeds that no test seed equals out of the join.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ STRIDE = 4
 FLANK = 6
 LEAST_TOKENS = 13
 LEAST_PERCENT = 80
-# Different seeds of a benchmark up to which they are broadcast, 16 MB; beyond, both sides are shuffled.
-BROADCAST_SEEDS = 2_000_000
+# The table of bits that documents' seeds must pass has 32 bits per test seed, between these powers of two:
+# at most 512 KB. It only saves work; with a benchmark beyond it more seeds are joined.
+LEAST_BITS, MOST_BITS = 16, 22
 
 
 def tokens(text: str) -> Column:
@@ -34,25 +36,19 @@ def _seed(words: Column, at: Column, mask: int) -> Column:
     return F.xxhash64(F.lit(mask), *kept)
 
 
-def _seeds(words: Column, stride: int) -> Column:
-    """Hashes at every ``stride``-th position, first all of one mask, then all of the next."""
+def _seeds(words: Column, stride: int, may_meet=lambda hash_: F.lit(True)) -> Column:
+    """[(hash, tokens around)] of the seeds at every ``stride``-th position that ``may_meet`` a test seed."""
     width = len(MASKS[0])
     spots = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width, F.lit(stride))).otherwise(
         F.array().cast("array<int>")
     )
-    of = lambda mask: F.transform(spots, lambda at: _seed(words, at, mask))
-    return F.concat(*[of(mask) for mask in range(len(MASKS))])
-
 
-def _exploded(rows: DataFrame, stride: int, *kept: str) -> DataFrame:
-    """(kept columns, at, hash) of the seeds in column ``_llm_seeds``; rows without seeds give a null hash.
+    def of(mask: int) -> Column:
+        made = F.transform(spots, lambda at: F.struct(_seed(words, at, mask).alias("hash"), at.alias("at")))
+        kept = F.filter(made, lambda s: may_meet(s["hash"]))
+        return F.transform(kept, lambda s: F.struct(s["hash"].alias("hash"), s["at"].alias("at"), _around(words, s["at"]).alias("around")))
 
-    The outer form keeps the optimizer from putting a filter on the seeds below the tokens' projection,
-    where it would split the text anew for every token.
-    """
-    spots = F.size("_llm_seeds") / len(MASKS)
-    each = rows.select(*kept, spots.cast("int").alias("_llm_spots"), F.posexplode_outer("_llm_seeds").alias("_llm_pos", "hash"))
-    return each.select(*kept, (F.col("_llm_pos") % F.col("_llm_spots") * stride).alias("at"), "hash")
+    return F.concat(*[of(mask) for mask in range(len(MASKS))])
 
 
 def _around(words: Column, at: Column) -> Column:
@@ -61,6 +57,29 @@ def _around(words: Column, at: Column) -> Column:
     return F.transform(span, lambda o: F.get(words, at + o))
 
 
+def _places(hash_: Column, bits: int) -> list[Column]:
+    """Two bits of the table for a hash."""
+    return [F.shiftrightunsigned(hash_, 64 - bits), hash_.bitwiseAND((1 << bits) - 1)]
+
+
+def bit_test(seeds: DataFrame, n: int):
+    """A condition that holds for every hash in column ``hash`` of the ``n`` seeds, and for few others."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
+    place = seeds.select(F.explode(F.array(*_places(F.col("hash"), bits))).alias("place"))
+    words = place.select(F.shiftright("place", 5).alias("word"), F.expr("shiftleft(1L, cast(place & 31 as int))").alias("bit"))
+    table = [0] * (1 << bits - 5)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # no more rows than the table has words
+        table[row["word"]] = row["bits"]
+    constant = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    is_set = lambda at: F.getbit(F.get(constant, F.shiftright(at, 5).cast("int")), at.bitwiseAND(31).cast("int")) == 1
+
+    def may_meet(hash_: Column) -> Column:
+        one, two = _places(hash_, bits)
+        return is_set(one) & is_set(two)
+
+    return may_meet
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -72,23 +91,19 @@ def contamination(
     ``LEAST_TOKENS`` can't be told from chance and match nothing. Rows without a key are not reported.
     """
     items = benchmark.select(F.col(item).alias("_llm_item"), tokens(item_text).alias("_llm_words"))
-    items = items.where(F.size("_llm_words") >= LEAST_TOKENS).withColumn("_llm_seeds", _seeds(F.col("_llm_words"), 1))
+    items = items.where(F.size("_llm_words") >= LEAST_TOKENS)
     item_seeds = stage(
-        _exploded(items, 1, "_llm_item", "_llm_words")
-        .select("_llm_item", "hash", _around(F.col("_llm_words"), F.col("at")).alias("_llm_test")).distinct(),
+        # the outer form keeps the optimizer from putting a filter on the seeds below the tokens' projection, where
+        # it would split the text anew for every token
+        items.select("_llm_item", F.explode_outer(_seeds(F.col("_llm_words"), 1)).alias("s"))
+        .select("_llm_item", "s.hash", F.col("s.around").alias("_llm_test")).distinct(),
         "benchmark-seeds",
     )
-    wanted = item_seeds.select("hash").distinct()
-    if wanted.count() <= BROADCAST_SEEDS:
-        wanted = F.broadcast(wanted)
-    named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_llm_doc"), text)
-    seeded = named.withColumn("_llm_words", tokens(text)).select("_llm_doc", _seeds(F.col("_llm_words"), STRIDE).alias("_llm_seeds"))
-    hits = stage(_exploded(seeded, STRIDE, "_llm_doc").join(wanted, "hash", "left_semi"), "seed-hits")
-    found = named.join(hits.select("_llm_doc").distinct(), "_llm_doc", "left_semi").select("_llm_doc", tokens(text).alias("_llm_words"))
-    placed = found.join(hits, "_llm_doc").select(
-        "_llm_doc", "hash", "at", _around(F.col("_llm_words"), F.col("at")).alias("_llm_train")
-    )
-    met = placed.join(item_seeds, "hash")
+    may_meet = bit_test(item_seeds.select("hash").distinct(), item_seeds.count())
+    read = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_llm_doc"), tokens(text).alias("_llm_words"))
+    seeded = read.select("_llm_doc", F.explode_outer(_seeds(F.col("_llm_words"), STRIDE, may_meet)).alias("s"))
+    doc_seeds = seeded.where("s is not null").select("_llm_doc", "s.hash", "s.at", F.col("s.around").alias("_llm_train"))
+    met = doc_seeds.join(item_seeds, "hash")
     pairs = F.zip_with("_llm_train", "_llm_test", lambda a, b: (a == b).cast("int"))
     scored = met.select("_llm_doc", "_llm_item", "at", F.filter(pairs, lambda x: x.isNotNull()).alias("same")).select(
         "_llm_doc", "_llm_item", "at", F.size("same").alias("n"), F.size(F.filter("same", lambda x: x == 1)).alias("equal")
