@@ -8,7 +8,7 @@ from pricemill.operators.encode import downcast, fill_missing, null_flags
 from pricemill.operators.ranking import head_rows
 from pricemill.operators.sampling import corrupt_one_token, corrupt_tokens, modular_draw, replicate_rows
 from pricemill.plans.cleaning import nonzero_price, union_train_test
-from pricemill.sources import listings
+from pricemill.sources import listings, with_row_id
 
 
 @CATALOG.query(
@@ -133,12 +133,29 @@ def union_train_test_query(spark, sf_dir):
     return union_train_test(rows.where("split = 'train'"), rows.where("split = 'test'").drop("price"))
 
 
+@CATALOG.query(
+    "keyed_union",
+    with_listings(
+        """SELECT CASE WHEN split = 'train' THEN 2 * row_id ELSE 2 * (row_id - 3) + 1 END AS row_id,
+                  CASE WHEN split = 'train' THEN row_id ELSE row_id - 3 END AS source_id, split, name, price
+           FROM listings"""
+    ),
+)
+def keyed_union(spark, sf_dir):
+    """Both splits number their rows alike, as two files do; the union keeps them apart."""
+    rows = listings(spark, sf_dir, False).select("row_id", "split", "name", "price")
+    train = rows.where("split = 'train'").drop("split").withColumnRenamed("row_id", "train_id")
+    test = rows.where("split = 'test'").selectExpr("row_id - 3 as test_id", "name")
+    return union_train_test(with_row_id(train, "train_id", "train"), with_row_id(test, "test_id", "test"))
+
+
 @CATALOG.query(
     "replicate_rows",
     with_listings(
         """SELECT row_id * 6 + c AS copy_id, row_id, name
            FROM listings, range(0, 6) r(c)
-           WHERE split = 'test' AND (c < 5 OR row_id < 500)"""
+           WHERE split = 'test' AND (c < 5 OR row_id IN (
+             SELECT row_id FROM listings WHERE split = 'test' ORDER BY row_id LIMIT 500))"""
     ),
 )
 def replicate_rows_query(spark, sf_dir):

@@ -8,9 +8,10 @@ from pricemill.functions.text import let
 
 
 def replicate_rows(df: DataFrame, copies: int, head: int, row_id: str = "row_id", name: str = "copy_id") -> DataFrame:
-    """``copies`` copies of every row and one more of the rows with ``row_id < head``; the new id
+    """``copies`` copies of every row and one more of the ``head`` rows with the smallest ids; the new id
     ``row_id * (copies + 1) + copy`` is unique without numbering all rows."""
-    last = F.when(F.col(row_id) < head, F.lit(copies)).otherwise(F.lit(copies - 1))
+    bound = df.select(row_id).orderBy(row_id).limit(head).agg(F.max(row_id)).scalar()
+    last = F.when(F.col(row_id) <= bound, F.lit(copies)).otherwise(F.lit(copies - 1))
     copied = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), last)))
     return copied.withColumn(name, F.col(row_id) * (copies + 1) + F.col("_copy")).drop("_copy")
 

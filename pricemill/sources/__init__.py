@@ -3,7 +3,10 @@ from pricemill.sources.files import (
     read_listings_tsv,
     read_predictions,
     read_renamed,
+    read_terms,
     save_stage,
+    source_ids,
+    with_row_id,
     write_predictions,
     write_term_counts,
 )
@@ -11,5 +14,6 @@ from pricemill.sources.listings import LISTING_SCHEMA, actuals, listings, predic
 
 __all__ = [
     "LISTING_SCHEMA", "actuals", "listings", "load_stage", "predictions", "read_listings_tsv",
-    "read_predictions", "read_renamed", "save_stage", "write_predictions", "write_term_counts",
+    "read_predictions", "read_renamed", "read_terms", "save_stage", "source_ids", "with_row_id", "write_predictions",
+    "write_term_counts",
 ]

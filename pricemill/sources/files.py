@@ -23,23 +23,44 @@ def raw_schema(split: str) -> T.StructType:
     return T.StructType([T.StructField(f"{split}_id", T.LongType()), *fields])
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Tab-separated UTF-8 text with a header row and declared types (no inference pass)."""
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """Tab-separated UTF-8 text with a header row and declared types (no inference pass).
+
+    A field may be quoted, and a quote inside it is doubled. With ``multiline`` quoted fields may hold line
+    breaks; then a file is one task's work, so it is off unless asked for.
+    """
     return (
         spark.read.schema(schema)
         .option("sep", "\t")
         .option("header", True)
         .option("encoding", "UTF-8")
         .option("enforceSchema", False)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multiline)
         .csv(path)
     )
 
 
-def read_listings_tsv(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Read ``train`` or ``test`` listings; the id becomes ``row_id`` and ``split`` is kept as a
-    column, so later steps never tell the splits apart by row position."""
-    rows = read_delimited(spark, path, raw_schema(split))
-    return rows.withColumnRenamed(f"{split}_id", "row_id").withColumn("split", F.lit(split))
+def with_row_id(rows: DataFrame, id_column: str, split: str) -> DataFrame:
+    """``row_id`` unique over both splits (even for train, odd for test), the file's own id as
+    ``source_id``, and ``split``. Ids of both files begin at 0, so alone they would name two rows."""
+    number = 2 * F.col(id_column) + F.lit(0 if split == "train" else 1)
+    rest = [c for c in rows.columns if c != id_column]
+    return rows.select(
+        number.cast("bigint").alias("row_id"), F.col(id_column).alias("source_id"), *rest, F.lit(split).alias("split")
+    )
+
+
+def source_ids(rows: DataFrame) -> DataFrame:
+    """Put the file's own id in place of ``row_id``, as a submission of one split needs it."""
+    return rows.withColumn("row_id", F.shiftright("row_id", 1))
+
+
+def read_listings_tsv(spark: SparkSession, path: str, split: str, multiline: bool = False) -> DataFrame:
+    """Read ``train`` or ``test`` listings with the keys of :func:`with_row_id`, so later steps never
+    tell the splits apart by row position."""
+    return with_row_id(read_delimited(spark, path, raw_schema(split), multiline), f"{split}_id", split)
 
 
 def read_renamed(
@@ -69,6 +90,12 @@ def load_stage(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary from plain text: ``(term, n)`` with every lower-case word of the file and its count."""
+    words = F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]+"), F.lit(0)))
+    return spark.read.text(path).select(words.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_term_counts(counts: DataFrame, path: str) -> None:
     """Dump a term/count table (brand frequencies, a dictionary) as tab-separated text."""
     counts.write.mode("errorifexists").option("sep", "\t").csv(path)

@@ -71,6 +71,18 @@ def test_rank_with_nulls_and_few_rows(spark):
         assert [r.row_id for r in ranked.orderBy("rank0").collect()] == [1, 4, 2, 3]
 
 
+def test_rank_deals_rows_into_buckets(spark, sf_dir):
+    """Also few rows with one value lie in several buckets, each numbered by itself."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").withColumn("v", F.lit(1))
+    ranked, n = ranking.global_rank(rows, [F.col("v")], "o_orderkey")
+    numbers = [r.rank0 for r in ranked.orderBy("o_orderkey").collect()]
+    assert numbers == list(range(n))
+    key = rows.withColumn("_key", F.struct(F.col("v").alias("k0"), F.col("o_orderkey").alias("k1")))
+    bounds = ranking._boundaries(key, n, ranking.MIN_BUCKETS)
+    buckets = key.select(ranking._bucket_of(F.col("_key"), bounds, key.schema["_key"].dataType.simpleString()))
+    assert buckets.distinct().count() == ranking.MIN_BUCKETS
+
+
 def test_rank_gauss_is_symmetric(spark):
     rows = spark.range(501).select(F.col("id").alias("row_id"), F.sin("id").alias("v"))
     values = [r.gauss for r in ranking.rank_gauss(rows, "v").collect()]

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from pricemill import sources
-from pricemill.operators.encode import value_counts
-from pricemill.plans.cleaning import clean_listings
+from pricemill.operators.encode import text_to_sequence, value_counts, word_index
+from pricemill.plans.cleaning import clean_listings, lowered_listings, union_train_test
 from pricemill.streaming import clean_stream, with_frequencies
 
 HEADER = "train_id\tname\titem_condition_id\tcategory_name\tbrand_name\tprice\tshipping\titem_description\n"
@@ -18,7 +18,43 @@ def test_train_and_test_files(spark, tmp_path):
     assert rows[1].item_condition_id is None and rows[1].shipping is None and rows[1].category_name is None
     (tmp_path / "test.tsv").write_text("test_id\tname\titem_condition_id\tcategory_name\tbrand_name\tshipping\titem_description\n7\tx\t1\ta\tb\t0\td\n")
     test = sources.read_listings_tsv(spark, str(tmp_path / "test.tsv"), "test")
-    assert "price" not in test.columns and test.first().row_id == 7
+    assert "price" not in test.columns and test.first().row_id == 15 and test.first().source_id == 7
+    assert sources.source_ids(test).first().row_id == 7
+
+
+def test_both_splits_keep_apart_through_the_pipeline(spark, tmp_path):
+    """Ids of both files overlap and fields are quoted; no step may mix the rows."""
+    rows = [
+        ("0", '"say ""hi"" mug"', "3", "a/b/c", "acme", "10.5", "1", '"a ""big"" mug"'),
+        ("1", "acme plain thing", "1", "a/b/c", "", "4", "0", "zeta words here"),
+    ]
+    tests = [
+        ("0", "plain zeta shoe", "2", "x/y/z", "", "0", "other words there"),
+        ("1", "shoe", "2", "x/y/z", "zeta", "0", "no"),
+        ("2", "beta acme shoe", "2", "x/y/z", "", "0", "third text"),
+    ]
+    (tmp_path / "train.tsv").write_text(HEADER + "".join("\t".join(r) + "\n" for r in rows), "utf-8")
+    head = HEADER.replace("train_id", "test_id").replace("price\t", "")
+    (tmp_path / "test.tsv").write_text(head + "".join("\t".join(r) + "\n" for r in tests), "utf-8")
+    both = union_train_test(*[sources.read_listings_tsv(spark, str(tmp_path / f"{s}.tsv"), s) for s in ("train", "test")])
+    assert {(r.split, r.source_id): r.row_id for r in both.collect()} == {
+        ("train", 0): 0, ("train", 1): 2, ("test", 0): 1, ("test", 1): 3, ("test", 2): 5,
+    }
+    assert both.where("row_id = 0").first().name == 'say "hi" mug'
+    cleaned = clean_listings(both)
+    names = {r.row_id: r.name for r in cleaned.collect()}
+    assert names[1] == "plain zeta shoe" and names[2] == "acme plain thing"
+    lowered = {r.row_id: r for r in lowered_listings(both.fillna({"shipping": 0, "item_condition_id": 1})).collect()}
+    assert len(lowered) == 5 and lowered[0].brand_name == "acme" and not lowered[1].brand_name.startswith("acme")
+    sequences = text_to_sequence(cleaned, "name", word_index(cleaned.where("split = 'train'"), "name", 100))
+    assert sequences.count() == 5 and sequences.select("row_id").distinct().count() == 5
+
+
+def test_dictionary_from_text(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("The cat, the CAT and it's hat\n", "utf-8")
+    assert {tuple(r) for r in sources.read_terms(spark, str(tmp_path)).collect()} == {
+        ("the", 2), ("cat", 2), ("and", 1), ("it", 1), ("s", 1), ("hat", 1),
+    }
 
 
 def test_read_renamed(spark, tmp_path):
