@@ -14,10 +14,10 @@ from pricemill.catalog import CATALOG
 HEADLINE = [
     "hand_features", "zscore_features", "clean_listings", "clean_text_symbols", "token_overlap", "normalize_units",
     "brand_frequency_join", "mask_unseen", "label_encode", "rank_gauss", "rank_gauss_tied", "kfold_contiguous",
-    "word_index", "text_to_sequence", "corrupt_tokens",
+    "word_index", "text_to_sequence", "pad_sequence", "corrupt_tokens",
     "alias_normalize", "impute_brand_alias", "impute_brand_cascade", "fuzzy_brand_match", "term_dictionary",
-    "count_vectorize", "description_ngrams", "weighted_description_ngrams", "document_frequency",
-    "df_filter", "tfidf", "feature_union",
+    "count_vectorize", "hashed_ngrams", "description_ngrams", "weighted_description_ngrams", "document_frequency",
+    "df_filter", "features_in_both_splits", "tfidf", "feature_union",
     "rmse_by_fold", "weighted_blend", "blend_weight_search", "oof_table", "worst_predictions",
     "ridge_dense",
 ]
