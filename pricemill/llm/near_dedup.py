@@ -149,20 +149,33 @@ def _matched(needed: int):
     return run
 
 
+INSIDE, OUTSIDE, OWN = range(3)
+
+
 def _met_in_blocks(needed: int):
-    """Rows (value, unit, id, part, own, long), sorted by value and unit, to pairs (a, b): each row with
-    ``own`` meets the unit's other rows of different parts, and pairs with enough collisions leave."""
+    """Rows (value, unit, id, part, role, long, values), sorted by value and unit, to pairs (a, b).
+
+    Each row in the role ``OWN`` meets the unit's other rows of different parts. Pairs with enough
+    collisions leave, each once: from the least value that both have, and of two rows outside the largest
+    component only from that with the smaller id.
+    """
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-        ids, parts, own = (rows.column(c).to_numpy() for c in ("id", "part", "own"))
+        ids, parts, role = (rows.column(c).to_numpy() for c in ("id", "part", "role"))
         long = np.frombuffer(b"".join(rows.column("long").to_pylist()), np.uint8).reshape(-1, LONG_COORDINATES)
-        others = np.flatnonzero(~own)
+        lists = rows.column("values").to_pylist()
+        width = max(map(len, lists))
+        values = np.array([v + [-1] * (width - len(v)) for v in lists], np.int64)
+        value = rows.column("value")[0].as_py()
+        others = np.flatnonzero(role != OWN)
         a, b = [], []
-        for i in np.flatnonzero(own):
-            to = others[parts[others] != parts[i]]
-            met = ids[to[(long[to] == long[i]).sum(axis=1) >= needed]]
-            a.append(np.minimum(met, ids[i]))
-            b.append(np.maximum(met, ids[i]))
+        for i in np.flatnonzero(role == OWN):
+            to = others[(parts[others] != parts[i]) & ((role[others] == INSIDE) | (ids[others] > ids[i]))]
+            to = to[(long[to] == long[i]).sum(axis=1) >= needed]
+            common = np.isin(values[to], lists[i])
+            to = to[values[to, common.argmax(axis=1)] == value] if len(to) else to
+            a.append(np.minimum(ids[to], ids[i]))
+            b.append(np.maximum(ids[to], ids[i]))
         if not a:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
@@ -252,12 +265,16 @@ def _across(lists: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -
         {"wide": blocks(F.col("all")), "high": blocks(F.col("all") - F.col("most")), "h": F.xxhash64("id")}
     )
     at = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
-    spread = lambda own, unit: F.struct(F.lit(own).alias("own"), unit.cast("int").alias("unit"))
-    as_other = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: spread(False, i * F.col("wide") + at("wide")))
-    as_own = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda j: spread(True, at("high") * F.col("wide") + j))
-    both = F.when(F.col("part") != F.col("largest"), F.concat(as_other, as_own)).otherwise(as_other)
-    units = dealt.select("value", "id", "part", F.explode(both).alias("u")).select("value", "u.unit", "id", "part", "u.own")
-    filled = units.join(sets.select("id", "long"), "id").select("value", "unit", "id", "part", "own", "long")
+    outside = F.col("part") != F.col("largest")
+    spread = lambda role, unit: F.struct(role.alias("role"), unit.cast("int").alias("unit"))
+    role = F.when(outside, OUTSIDE).otherwise(INSIDE)
+    as_other = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: spread(role, i * F.col("wide") + at("wide")))
+    as_own = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda j: spread(F.lit(OWN), at("high") * F.col("wide") + j))
+    both = F.when(outside, F.concat(as_other, as_own)).otherwise(as_other)
+    units = dealt.select("value", "id", "part", F.explode(both).alias("u")).select("value", "u.unit", "id", "part", "u.role")
+    values = lists.groupBy("id").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    filled = units.join(sets.select("id", "long"), "id").join(values, "id")
+    filled = filled.select("value", "unit", "id", "part", "role", "long", "values")
     sorted_ = filled.repartition("value", "unit").sortWithinPartitions("value", "unit")
     return sorted_.mapInArrow(_met_in_blocks(least_matches(percent, LONG_COORDINATES)), "a bigint, b bigint")
 
