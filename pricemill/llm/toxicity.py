@@ -29,7 +29,9 @@ SLOTS = 1 << 21
 DISCOUNT = 0.75
 # Part of the words of a toxic text that the toxic model is expected to explain.
 TOXIC_SHARE = 0.005
-# Labelled texts on which the logistic curve is fitted, at most; counts are taken from all labelled texts.
+# Labelled texts that are counted, at most (their ids and labels are broadcast, 24 MB), and those on
+# which the logistic curve is fitted. Both are the first by a hash of the id.
+TAUGHT_ROWS = 1_000_000
 CURVE_ROWS = 20_000
 CHUNK = 1 << 19
 
@@ -90,18 +92,19 @@ def _runs(column: pa.Array) -> Iterator[list[str]]:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, text) to the events' slots with their counts per group."""
+    """(group, text) to the events' slots with their counts in the four groups."""
     for batch in batches:
-        for group in np.unique(batch.column(0).to_numpy(zero_copy_only=False)):
-            own = batch.filter(pa.array(batch.column(0).to_numpy(zero_copy_only=False) == group))
+        groups = batch.column(0).to_numpy(zero_copy_only=False)
+        for group in np.unique(groups):
+            own = batch.filter(pa.array(groups == group))
             for texts in _runs(own.column(1)):
                 whole, context, short, short_context, _, _ = _events(texts)
                 slots, first, n = np.unique(whole, return_index=True, return_counts=True)
                 if len(slots):
+                    counts = [n if i == group else np.zeros(len(n), np.int64) for i in range(4)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(slots), *[pa.array(x[first]) for x in (context, short, short_context)],
-                         pa.array(np.full(len(slots), group, np.int32)), pa.array(n.astype(np.int64))],
-                        names=["event", "context", "short", "short_context", "grp", "n"],
+                        [pa.array(slots), *[pa.array(x[first]) for x in (context, short, short_context)], *map(pa.array, counts)],
+                        names=["event", "context", "short", "short_context", "n0", "n1", "n2", "n3"],
                     )
 
 
@@ -129,7 +132,7 @@ class Model:
 
 def _model(counts: DataFrame, groups: list[tuple[int, int]]) -> Model:
     """Kneser-Ney ratios from event counts; ``groups`` are (ordinary, toxic) group numbers that are added up."""
-    of = lambda side: F.sum(F.when(F.col("grp").isin([g[side] for g in groups]), F.col("n")).otherwise(0))
+    of = lambda side: F.sum(sum(F.col(f"n{g[side]}") for g in groups))
     # slots may collide; an event then belongs to the least of the contexts
     seen = counts.groupBy("event").agg(
         F.min("context").alias("context"), F.min("short").alias("short"), F.min("short_context").alias("short_context"),
@@ -200,7 +203,7 @@ def training_fold(key: str) -> Column:
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    curve_rows: int = CURVE_ROWS,
+    taught_rows: int = TAUGHT_ROWS, curve_rows: int = CURVE_ROWS,
 ) -> DataFrame:
     """All columns but the text, and ``score``: the probability that the text is toxic.
 
@@ -212,10 +215,11 @@ def toxicity(
     fold = training_fold(key)
     marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_llm_key")).agg(F.max(F.col(label)).cast("int").alias("_llm_label"))
     taught = marked.where(F.crc32(F.col("_llm_key").cast("string").cast("binary")) % 3 != 1)
+    taught = F.broadcast(taught.orderBy(F.xxhash64("_llm_key"), "_llm_key").limit(taught_rows))
     known = docs.join(taught, F.col(key) == F.col("_llm_key")).select((fold + F.col("_llm_label")).cast("int").alias("grp"), text)
     counts = stage(
-        known.mapInArrow(_gather, "event int, context int, short int, short_context int, grp int, n bigint")
-        .groupBy("event", "context", "short", "short_context", "grp").agg(F.sum("n").alias("n")),
+        known.mapInArrow(_gather, "event int, context int, short int, short_context int, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
+        .groupBy("event", "context", "short", "short_context").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]),
         "event-counts",
     )
     # groups: 0 ordinary and 1 toxic of fold 0, 2 and 3 of fold 2
