@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pricemill.constants import MISSING
+from pricemill.constants import MISSING, MISSING_CATEGORY_PATH
 from pricemill.functions.text import (
     blank_boilerplate,
     category_levels_2,
@@ -48,7 +48,7 @@ def lowered_listings(raw: DataFrame, impute: bool = True) -> DataFrame:
     """The lower-case branch: flags, three category levels, cross keys, units, brand cascade and
     enriched texts."""
     flagged = null_flags(raw, {"has_category": "category_name", "has_brand": "brand_name"})
-    category = F.lower(F.coalesce("category_name", F.lit("other/other/other")))
+    category = F.lower(F.coalesce("category_name", F.lit(MISSING_CATEGORY_PATH)))
     rows = flagged.withColumn("category_name", category)
     rows = rows.withColumns(category_levels_3(F.col("category_name")))
     rows = rows.withColumns(

@@ -6,7 +6,6 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, functions as F
 
 from pricemill.constants import (
-    NAME_TRAIN_DF,
     PRICE_CEILING,
     PRICE_FLOOR,
     RIDGE_MAX_ITER,
@@ -58,9 +57,10 @@ def weighted_rows(raw: DataFrame, slots: int = M.MODEL_SLOTS) -> DataFrame:
     """Order-weighted vectors of all rows, staged, slots of rare features emptied."""
     cleaned = separated_description(clean_listings(raw))
     known = mask_unseen(mask_unseen(cleaned, "category_name"), "brand_name")
-    vectors = M.stage(M.hashed_vectors(with_target(known), all_blocks(weighted_blocks()), slots))
+    bags = all_blocks(weighted_blocks())
+    vectors = M.stage(M.hashed_vectors(with_target(known), bags, slots, slot_of=M.block_slot))
     # staged again: a fit runs many short jobs, and each would ship the whole plan with its factors
-    return M.stage(M.train_pruned_vectors(vectors, vectors.where("split = 'train'"), NAME_TRAIN_DF))
+    return M.stage(M.block_pruned_vectors(vectors, vectors.where("split = 'train'"), slots))
 
 
 def pooled_rows(raw: DataFrame, vocabulary: int = VOCABULARY_SIZE) -> DataFrame:
