@@ -14,6 +14,7 @@ from __future__ import annotations
 from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pricemill.llm.columns import keep_only
 from pricemill.llm.decontaminate import drop_contaminated
 from pricemill.llm.line_dedup import build_index, drop_repeated_lines
 from pricemill.llm.near_dedup import drop_near_duplicates
@@ -27,7 +28,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return rule_cascade(docs).where("kept").select(*docs.columns)
+    return keep_only(rule_cascade(docs), "kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
