@@ -135,7 +135,7 @@ def rule_cascade(
     """Append the base statistics, ``base_failed``, ``rejected_by`` and ``kept``.
 
     ``rejected_by`` names the first rule of the cascade that rejects, ``base`` for the base rules
-    and null for kept rows. A document without words fails the base rules. Rows keep their other
+    and null for kept rows; filter by :func:`pricemill.llm.columns.keep_only`. A document without words fails the base rules. Rows keep their other
     columns; ties and repeated rows are judged alike.
     """
     measured = base_statistics(docs, text)

@@ -20,7 +20,7 @@ def test_stages(spark, sf_dir):
         if name != "packing":
             assert docs.columns == source.columns
             kept.append({r.doc_id: r for r in docs.collect()})
-    judged = {r.doc_id for r in LLM.queries["op5_quality_rules"](spark, sf_dir).where("kept").collect()}
+    judged = {r.doc_id for r in LLM.queries["op5_quality_rules"](spark, sf_dir).collect() if r.kept}
     assert set(kept[0]) == judged and 0 < len(judged) < len(texts)
     after = lines_brute({i: texts[i] for i in judged})
     assert {i: r.text for i, r in kept[1].items()} == after
