@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a hash of the tokens that a fixed mask keeps; the masks ignore some positions, so a
-replaced token there does not hide an overlap. Benchmark items give a seed at every position and
-documents at every ``STRIDE``-th one, which loses no exact overlap that is longer than a seed by the
-stride. Seeds of documents take the tokens around them along, so the texts are read once and
-not shuffled; they are joined on their hashes, and around each hit the aligned tokens are compared one by
-one. A table of bits of bounded size keeps seeds that no test seed equals out of the join.
+A document and an item overlap if some aligned stretch of at least ``LEAST_TOKENS`` tokens has at least
+``LEAST_PERCENT`` equal ones. A stretch of twice that length can be halved and one half is as good, so only
+stretches of fewer than ``2 * LEAST_TOKENS`` tokens have to be looked at. Each of them holds a seed: a hash of the
+tokens that one of the masks ``SEEDS`` keeps, wherever the replaced tokens stand. Documents and items give seeds at
+every position. Those of documents take the hashes of the tokens around them along, so the texts are read
+once and not shuffled; they are joined on their hashes, and around each hit all stretches of its diagonal are tried.
+A table of bits of bounded size keeps seeds that no test seed equals out of the join.
 """
 
 from __future__ import annotations
@@ -14,13 +15,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pricemill.session import stage
 
-# Fixed masks over eleven tokens: 1 keeps the token at this place, 0 ignores it.
+# Masks of the seeds: 1 keeps the token at this place, 0 ignores it. Every aligned stretch of at least LEAST_TOKENS
+# tokens with LEAST_PERCENT equal agrees with one of them somewhere; the first lies inside both of MASKS.
+SEEDS = ("111011", "11111")
+# The least overlap, and the share that must agree.
+LEAST_TOKENS = 13
+LEAST_PERCENT = 80
+# Tokens before and after the start of a seed: all stretches of fewer than 2 * LEAST_TOKENS tokens that hold it.
+BEFORE, AFTER = 2 * LEAST_TOKENS - 6, 2 * LEAST_TOKENS - 2
+# What ``hits`` counts: agreement with one of these masks at every STRIDE-th token of a document, where the tokens up
+# to FLANK on both sides agree too.
 MASKS = ("11011101101", "10111011011")
 STRIDE = 4
-# Tokens on both sides of a seed that are compared too, the least overlap, and the share that must agree.
 FLANK = 6
-LEAST_TOKENS = 13
-LEAST_PERCENT = 80
 # The table of bits that documents' seeds must pass has 32 bits per test seed, between these powers of two:
 # at most 512 KB. It only saves work; with a benchmark beyond it more seeds are joined.
 LEAST_BITS, MOST_BITS = 16, 22
@@ -31,30 +38,81 @@ def tokens(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
-def _seed(words: Column, at: Column, mask: int) -> Column:
-    kept = [F.get(words, at + i) for i, bit in enumerate(MASKS[mask]) if bit == "1"]
-    return F.xxhash64(F.lit(mask), *kept)
+def _seeds(hashes: Column, may_meet=None) -> Column:
+    """[(hash, position, token hashes around)] of the seeds at every position that ``may_meet`` a test seed."""
+
+    def of(mask: int) -> Column:
+        kept = [i for i, bit in enumerate(SEEDS[mask]) if bit == "1"]
+        spots = F.when(F.size(hashes) >= len(SEEDS[mask]), F.sequence(F.lit(0), F.size(hashes) - len(SEEDS[mask]))).otherwise(
+            F.array().cast("array<int>")
+        )
+        made = F.transform(spots, lambda at: F.xxhash64(F.lit(mask), *[F.get(hashes, at + i) for i in kept]))
+        one = lambda hash_, at: F.struct(hash_.alias("hash"), at.alias("at"), F.lit(mask).alias("mask"))
+        if may_meet is not None:
+            made = F.filter(F.transform(made, lambda h, at: F.when(may_meet(h), one(h, at))), lambda s: s.isNotNull())
+        else:
+            made = F.transform(made, one)
+        return F.transform(made, lambda s: F.struct(
+            s["hash"].alias("hash"), s["at"].alias("at"), s["mask"].alias("mask"), _around(hashes, s["at"]).alias("around")
+        ))
 
+    return F.concat(*[of(mask) for mask in range(len(SEEDS))])
 
-def _seeds(words: Column, stride: int, may_meet=lambda hash_: F.lit(True)) -> Column:
-    """[(hash, tokens around)] of the seeds at every ``stride``-th position that ``may_meet`` a test seed."""
-    width = len(MASKS[0])
-    spots = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width, F.lit(stride))).otherwise(
-        F.array().cast("array<int>")
-    )
 
-    def of(mask: int) -> Column:
-        made = F.transform(spots, lambda at: F.struct(_seed(words, at, mask).alias("hash"), at.alias("at")))
-        kept = F.filter(made, lambda s: may_meet(s["hash"]))
-        return F.transform(kept, lambda s: F.struct(s["hash"].alias("hash"), s["at"].alias("at"), _around(words, s["at"]).alias("around")))
+def _around(hashes: Column, at: Column) -> Column:
+    """The token hashes from ``BEFORE`` before the start of a seed to ``AFTER`` after it; null beyond the text."""
+    return F.transform(F.sequence(F.lit(-BEFORE), F.lit(AFTER)), lambda o: F.get(hashes, at + o))
+
+
+def _bits(flags: Column) -> Column:
+    """Flags as a number, the first one in the lowest bit."""
+    shifted = F.transform(flags, lambda flag, i: F.when(flag, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    return F.aggregate(shifted, F.lit(0).cast("bigint"), lambda all_, bit: all_.bitwiseOR(bit))
 
-    return F.concat(*[of(mask) for mask in range(len(MASKS))])
 
+def _holds(bits: Column, mask: int) -> Column:
+    return bits.bitwiseAND(F.lit(mask).cast("bigint")) == mask
 
-def _around(words: Column, at: Column) -> Column:
-    """The tokens from ``FLANK`` before a seed to ``FLANK`` after it; null beyond the text."""
-    span = F.sequence(F.lit(-FLANK), F.lit(len(MASKS[0]) + FLANK - 1))
-    return F.transform(span, lambda o: F.get(words, at + o))
+
+def _overlaps(equal: Column, both: Column) -> Column:
+    """Whether a stretch of the aligned tokens, all of them inside both texts, has enough equal ones."""
+    most_wrong = lambda n: n * (100 - LEAST_PERCENT) // 100
+    # a stretch of another length holds one of these that is as good
+    lengths = [n for n in range(LEAST_TOKENS, 2 * LEAST_TOKENS) if n == LEAST_TOKENS or most_wrong(n) > most_wrong(n - 1)]
+
+    def good(at: Column, n: int) -> Column:
+        part = lambda bits: F.call_function("shiftright", bits, at).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
+        return (F.bit_count(part(equal)) >= n - most_wrong(n)) & (part(both) == (1 << n) - 1)
+
+    def any_good(at: Column) -> Column:
+        found = good(at, lengths[0])
+        for n in lengths[1:]:
+            found = found | good(at, n)
+        return found
+
+    return F.exists(F.sequence(F.lit(0), F.lit(BEFORE + AFTER + 1 - LEAST_TOKENS)), any_good)
+
+
+def _counted(at: Column, equal: Column, both: Column) -> Column:
+    """[(spot, equal)] of the masks of ``hits`` that agree around a seed of the first mask; a spot is a document's token."""
+    found = []
+    for mask in MASKS:
+        inside = next(i for i in range(len(mask)) if all(s == "0" or m == "1" for s, m in zip(SEEDS[0], mask[i:])))
+        first = BEFORE - inside  # the mask's first token in the bits
+        kept = sum(1 << first + i for i, bit in enumerate(mask) if bit == "1")
+        window = _window(inside)
+        n, same = (F.bit_count(bits.bitwiseAND(F.lit(window).cast("bigint"))) for bits in (both, equal))
+        spot = at - inside
+        sure = (spot % STRIDE == 0) & _holds(equal, kept) & (n >= LEAST_TOKENS) & (100 * same >= LEAST_PERCENT * n)
+        # a mask has to lie inside both texts with the tokens that it ignores
+        sure = sure & _holds(both, sum(1 << first + i for i in range(len(mask))))
+        found.append(F.when(sure, F.struct(spot.alias("spot"), same.cast("bigint").alias("equal"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def _window(inside: int) -> int:
+    """The bits of a mask of ``hits`` that starts ``inside`` tokens before the seed, with its flanks."""
+    return sum(1 << BEFORE - inside + o for o in range(-FLANK, len(MASKS[0]) + FLANK))
 
 
 def _places(hash_: Column, bits: int) -> list[Column]:
@@ -83,34 +141,42 @@ def bit_test(seeds: DataFrame, n: int):
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row per document and benchmark item that overlap: the key columns, ``hits`` (confirmed seeds)
-    and ``overlap`` (most equal tokens around one seed).
+    """One row per document and benchmark item that overlap: the key columns, ``hits`` and ``overlap``.
 
-    A hit is confirmed if the aligned tokens around it are at least ``LEAST_TOKENS`` and at least
-    ``LEAST_PERCENT`` of them are equal; where a text ends, the comparison ends. Items of fewer tokens than
-    ``LEAST_TOKENS`` can't be told from chance and match nothing. Rows without a key are not reported.
+    A pair overlaps if an aligned stretch of at least ``LEAST_TOKENS`` tokens, all inside both texts, has at
+    least ``LEAST_PERCENT`` equal ones; all such pairs are found. ``hits`` counts the places of a document, of
+    every ``STRIDE``-th, where a mask of ``MASKS`` and its flanks agree as well; it is 0 for pairs that only a
+    stretch confirms. ``overlap`` is the most equal tokens around one such place, or else around one seed. Items of
+    fewer tokens than ``LEAST_TOKENS`` can't be told from chance and match nothing. Rows without a key are not reported.
     """
-    items = benchmark.select(F.col(item).alias("_llm_item"), tokens(item_text).alias("_llm_words"))
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    items = benchmark.select(F.col(item).alias("_llm_item"), hashed(tokens(item_text)).alias("_llm_words"))
     items = items.where(F.size("_llm_words") >= LEAST_TOKENS)
     item_seeds = stage(
         # the outer form keeps the optimizer from putting a filter on the seeds below the tokens' projection, where
         # it would split the text anew for every token
-        items.select("_llm_item", F.explode_outer(_seeds(F.col("_llm_words"), 1)).alias("s"))
+        items.select("_llm_item", F.explode_outer(_seeds(F.col("_llm_words"))).alias("s"))
         .select("_llm_item", "s.hash", F.col("s.around").alias("_llm_test")).distinct(),
         "benchmark-seeds",
     )
     may_meet = bit_test(item_seeds.select("hash").distinct(), item_seeds.count())
-    read = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_llm_doc"), tokens(text).alias("_llm_words"))
-    seeded = read.select("_llm_doc", F.explode_outer(_seeds(F.col("_llm_words"), STRIDE, may_meet)).alias("s"))
-    doc_seeds = seeded.where("s is not null").select("_llm_doc", "s.hash", "s.at", F.col("s.around").alias("_llm_train"))
+    read = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_llm_doc"), hashed(tokens(text)).alias("_llm_words"))
+    seeded = read.select("_llm_doc", F.explode_outer(_seeds(F.col("_llm_words"), may_meet)).alias("s"))
+    doc_seeds = seeded.where("s is not null").select("_llm_doc", "s.hash", "s.at", "s.mask", F.col("s.around").alias("_llm_train"))
     met = doc_seeds.join(item_seeds, "hash")
-    pairs = F.zip_with("_llm_train", "_llm_test", lambda a, b: (a == b).cast("int"))
-    scored = met.select("_llm_doc", "_llm_item", "at", F.filter(pairs, lambda x: x.isNotNull()).alias("same")).select(
-        "_llm_doc", "_llm_item", "at", F.size("same").alias("n"), F.size(F.filter("same", lambda x: x == 1)).alias("equal")
+    pairs = F.zip_with("_llm_train", "_llm_test", lambda a, b: a == b)  # null where a text has ended
+    compared = met.select(
+        "_llm_doc", "_llm_item", "at", "mask",
+        _bits(F.transform(pairs, lambda x: F.coalesce(x, F.lit(False)))).alias("same"),
+        _bits(F.transform(pairs, lambda x: x.isNotNull())).alias("both"),
+    )
+    around = F.bit_count(F.col("same").bitwiseAND(F.lit(_window(0)).cast("bigint"))).cast("bigint")
+    sure = compared.where(_overlaps(F.col("same"), F.col("both"))).select(
+        "_llm_doc", "_llm_item", around.alias("around"),
+        F.explode_outer(F.when(F.col("mask") == 0, _counted(F.col("at"), F.col("same"), F.col("both")))).alias("c"),
     )
-    sure = scored.where((F.col("n") >= LEAST_TOKENS) & (100 * F.col("equal") >= LEAST_PERCENT * F.col("n")))
     return sure.groupBy(F.col("_llm_doc").alias(key), F.col("_llm_item").alias(item)).agg(
-        F.count_distinct("at").alias("hits"), F.max("equal").cast("bigint").alias("overlap")
+        F.count_distinct("c.spot").alias("hits"), F.coalesce(F.max("c.equal"), F.max("around")).alias("overlap")
     )
 
 
