@@ -1,8 +1,9 @@
 """Decontamination against a brute force over all alignments, with partial and altered passages."""
 
 import random
+from itertools import combinations
 
-from pricemill.llm.decontaminate import LEAST_PERCENT, LEAST_TOKENS, contamination, drop_contaminated
+from pricemill.llm.decontaminate import LEAST_PERCENT, LEAST_TOKENS, SEEDS, contamination, drop_contaminated
 
 
 def overlaps(a, b):
@@ -60,3 +61,10 @@ def test_few_words(spark):
     docs = [text(rng.randint(0, 60)) for _ in range(150)]
     got, _ = found(spark, docs, items)
     assert got == brute_force(docs, items) and 0 < len(got) < len(docs) * len(items)
+
+
+def test_every_stretch_holds_a_seed():
+    masks = [[i for i, bit in enumerate(mask) if bit == "1"] for mask in SEEDS]
+    for n in (13, 15, 20, 25):  # a stretch of another length holds one of these
+        for wrong in map(set, combinations(range(n), n // 5)):
+            assert any(wrong.isdisjoint(at + i for i in m) for m in masks for at in range(n - m[-1])), (n, wrong)
