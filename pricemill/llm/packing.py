@@ -7,6 +7,10 @@ a closed form (:class:`Segment`), so windows need not be filled one after the ot
 knows where a document stands in its queue knows the windows it falls into, and deficits carry over
 from partition to partition without any state being passed on. When a queue runs dry, one window is
 filled up from the other queues and the proportions of those left are scaled up: a new segment.
+
+Sources too small for a queue of their own share one that is itself in the order of a fair queue: its documents
+are taken in runs of at most :data:`RUN` tokens, and a run stands where its source's tokens, spread evenly over
+the queue, would stand. So each of these sources keeps its proportion to within a run or two, however many they are.
 """
 
 from __future__ import annotations
@@ -27,8 +31,11 @@ from pricemill.session import stage
 WIDTH = 2048
 END_ID = 1
 # Sources with at least this part of all tokens have a queue of their own, so there are at most 256
-# of them; all other sources share one queue.
+# of them; all other sources share one queue, which holds each of them at its proportion.
 OWN_QUEUE = 1 / 256
+# The most tokens of one document that the shared queue serves at a time, and the tokens that one task orders.
+RUN = 256
+ORDERED_TOKENS = 1 << 20
 # Quanta are whole tokens per so many windows.
 CYCLE = 1 << 16
 
@@ -173,24 +180,43 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, text: st
     return stage(named.mapInArrow(run, type(schema)([*rest, *schema.fields])), "tokens")
 
 
-def _queue_starts(tokens: DataFrame, queues: list[str]) -> DataFrame:
-    """Tokens of the same queue before each block and source; sums over blocks first, then inside a block."""
+def _source_starts(tokens: DataFrame, queues: list[str]) -> DataFrame:
+    """Each block's and source's queue, tokens of the source in earlier blocks, and tokens of the source at all."""
     names = F.array(*[F.lit(q) for q in queues]).cast("array<string>")
     place = (F.array_position(names, F.col("_llm_source")) - 1).cast("int")
     queue = F.when(place >= 0, place).otherwise(len(queues)).alias("_llm_queue")
-    sums = stage(
-        tokens.groupBy("_llm_block", "_llm_source").agg(F.sum("doc_tokens").alias("n")).select(queue, "*"), "token-sums"
-    )
-    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda window: F.coalesce(F.sum("n").over(window), F.lit(0))
-    blocks = sums.groupBy("_llm_queue", "_llm_block").agg(F.sum("n").alias("n"))
-    blocks = blocks.select("_llm_queue", "_llm_block", total(before(["_llm_queue"], "_llm_block")).alias("start"))
-    inside = sums.withColumn("inside", total(before(["_llm_queue", "_llm_block"], "_llm_source")))
-    return inside.join(blocks, ["_llm_queue", "_llm_block"]).select(
-        "_llm_queue", "_llm_block", "_llm_source", (F.col("start") + F.col("inside")).alias("_llm_start")
+    sums = stage(tokens.groupBy("_llm_block", "_llm_source").agg(F.sum("doc_tokens").alias("n")), "token-sums")
+    source = Window.partitionBy("_llm_source")
+    before = source.orderBy("_llm_block").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(
+        "_llm_block", "_llm_source", queue,
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_llm_start"), F.sum("n").over(source).alias("_llm_total"),
     )
 
 
+def _shared_runs(placed: DataFrame, total: int) -> DataFrame:
+    """The runs of the shared queue's documents: ``_llm_runs`` of (token of the document, place in the queue, tokens).
+
+    A run's place is that of its source's tokens before it, over all tokens of the source; runs of one place in
+    all sources, such as the first ones, are set apart by a part of the run that depends on the source.
+    Places are spread evenly over the tokens, so buckets of places are even, too.
+    """
+    key = ["_llm_block", "_llm_source", "_llm_at"]
+    n_buckets = max(1, total // ORDERED_TOKENS)
+    cuts = F.sequence(F.lit(0).cast("bigint"), F.col("doc_tokens") - 1, F.lit(RUN).cast("bigint"))
+    runs = placed.select(*key, "doc_tokens", "_llm_total", (F.col("_llm_start") + F.col("_llm_at")).alias("first"), F.explode(cuts).alias("at"))
+    runs = runs.withColumn("n", F.least(F.lit(RUN).cast("bigint"), F.col("doc_tokens") - F.col("at")))
+    phase = F.xxhash64("_llm_source").bitwiseAND((1 << 20) - 1) / float(1 << 20)
+    runs = runs.withColumn("turn", (F.col("first") + F.col("at") + phase * F.col("n")) / F.col("_llm_total"))
+    runs = runs.withColumn("bucket", F.least(F.floor(F.col("turn") * n_buckets), F.lit(n_buckets - 1)))
+    order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = runs.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("bucket").orderBy("turn", "_llm_source", "first", "at").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(buckets, "bucket")
+    run = F.struct("at", (F.col("start") + F.col("inside")).alias("place"), "n")
+    return runs.groupBy(*key).agg(F.collect_list(run).alias("_llm_runs"))
+
+
 def _cut_rows(segments: list[Segment], carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -198,9 +224,12 @@ def _cut_rows(segments: list[Segment], carried: list[str]):
                 batch = whole.slice(at, 512)
                 column = lambda name: batch.column(batch.schema.get_field_index(name))
                 rows, pieces, ids = [], [], []
-                places = zip(*[column(c).to_pylist() for c in ("_llm_queue", "_llm_start", "_llm_at", "doc_tokens", "_llm_bytes", "_llm_ids")], strict=True)
-                for row, (queue, start, inside, n, width, raw) in enumerate(places):
-                    made = np.stack(cut(segments, queue, start + inside, n))
+                places = zip(*[column(c).to_pylist() for c in ("_llm_queue", "_llm_runs", "_llm_bytes", "_llm_ids")], strict=True)
+                for row, (queue, runs, width, raw) in enumerate(places):
+                    parts = [np.stack(cut(segments, queue, run["place"], run["n"])) for run in runs]
+                    for part, run in zip(parts, runs, strict=True):
+                        part[0] += run["at"]
+                    made = np.concatenate(parts, axis=1)
                     own = np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype("<u4").tobytes()
                     rows.append(np.full(made.shape[1], row))
                     pieces.append(made)
@@ -225,7 +254,7 @@ def pack(
 
     ``targets`` are the wanted proportions by source; by default those of the corpus, so that all
     queues run dry together. Sources that ``targets`` does not name share one queue with the weight
-    of their tokens. All sequences are full but the last. A null text is an empty one, of the end
+    of their tokens, and have the proportions of their tokens inside it. All sequences are full but the last. A null text is an empty one, of the end
     id alone; a null source counts as ''. Every row is packed, also repeated ones.
     """
     docs = free(docs, "doc_tokens", "start", "length", "sequence_id", "offset", "ids")
@@ -238,11 +267,16 @@ def pack(
     sizes = [*own.values(), total - sum(own.values())]
     weights = [float(s) for s in sizes] if targets is None else [*[float(targets[q]) for q in queues], sizes[-1] / max(total, 1)]
     segments = schedule(sizes, weights, width)
-    placed = tokens.join(_queue_starts(tokens, queues), ["_llm_block", "_llm_source"])
+    placed = tokens.join(_source_starts(tokens, queues), ["_llm_block", "_llm_source"])
+    whole = F.struct(F.lit(0).cast("bigint").alias("at"), (F.col("_llm_start") + F.col("_llm_at")).alias("place"), F.col("doc_tokens").alias("n"))
+    ready = placed.where(F.col("_llm_queue") < len(queues)).withColumn("_llm_runs", F.array(whole))
+    if sizes[-1]:
+        shared = placed.where(F.col("_llm_queue") == len(queues))
+        ready = ready.unionByName(shared.join(_shared_runs(shared, sizes[-1]), ["_llm_block", "_llm_source", "_llm_at"]))
     carried = [c for c in docs.columns if c != text] + ["doc_tokens"]
     fields = [f for f in tokens.schema.fields if f.name in carried]
     extra = docs.sparkSession.createDataFrame([], "start bigint, length bigint, sequence_id bigint, offset bigint, ids binary").schema
-    return placed.mapInArrow(_cut_rows(segments, [f.name for f in fields]), type(extra)([*fields, *extra.fields]))
+    return ready.mapInArrow(_cut_rows(segments, [f.name for f in fields]), type(extra)([*fields, *extra.fields]))
 
 
 def sequences(pieces: DataFrame, width: int = WIDTH, pad_id: int = 0) -> DataFrame:
