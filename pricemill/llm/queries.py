@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricemill.catalog.registry import Catalog
 from pricemill.llm.decontaminate import FLANK, LEAST_PERCENT, LEAST_TOKENS, MASKS, STRIDE, contamination
+from pricemill.llm.hard_negatives import hard_negatives
 from pricemill.llm.line_dedup import build_index, drop_repeated_lines
 from pricemill.llm.near_dedup import near_duplicates
 from pricemill.llm.packing import pack
@@ -15,7 +16,9 @@ from pricemill.llm.quality_rules import rule_cascade
 from pricemill.llm.secret_scan import find_secrets, span_text
 from pricemill.llm.sharding import shard_by_bytes
 from pricemill.llm.toxicity import toxicity, training_fold
+from pricemill.llm.vector_dedup import near_duplicate_vectors
 from pricemill.llm.warc import read_archives, write_archives
+from pricemill.llm.whitening import whiten
 
 LLM = Catalog()
 
@@ -247,3 +250,67 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11_SQL = f"""
+WITH RECURSIVE rows AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v,
+         label IS NOT NULL AND {_SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound
+  FROM embeddings
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM rows a JOIN rows b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.sound AND b.sound AND list_cosine_similarity(a.v, b.v) >= 0.93
+),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM rows
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM rows JOIN least ON node = vec_id LEFT JOIN counts ON a = vec_id
+"""
+
+
+@LLM.query("op11_vector_dedup", OP11_SQL)
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    return linked.select("vec_id", "n_links", "component_id", "kept")
+
+
+OP12_SQL = f"""
+WITH rows AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_SOUND}
+),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.id <> b.id WHERE a.id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER best AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN (SELECT * FROM scored WHERE NOT same) USING (anchor_id)
+WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
+@LLM.query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    return hard_negatives(vectors, F.pmod("vec_id", F.lit(100)) == 0, label)
+
+
+@LLM.query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return made.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
