@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, cloudpickle
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, functions as F
@@ -27,9 +27,9 @@ from pricemill.session import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Entries of a block, columns of a block, and blocks of a task of a product over rows.
-BLOCK_ENTRIES = 1 << 18
+BLOCK_ENTRIES = 1 << 17
 BLOCK_COLUMNS = 1024
-BLOCKS_A_TASK = 16
+BLOCKS_A_TASK = 32
 # Components of this size or more don't take part: sums of a batch must fit 64 bits.
 LARGEST = float(1 << 34)
 # A component whose variance is below this share of the largest can't be told from rounding.
@@ -104,7 +104,13 @@ def block_matrix(blocks: DataFrame, height: int, width: int, mean: np.ndarray |
             part = padded[:, at : at + BLOCK_COLUMNS]
             yield (row["block"], at // BLOCK_COLUMNS), DenseMatrix(height, part.shape[1], part.ravel(order="F"))
 
-    return BlockMatrix(blocks.select("block", "rows").rdd.flatMap(parts), height, min(width, BLOCK_COLUMNS))
+    made = BlockMatrix(blocks.select("block", "rows").rdd.flatMap(parts), height, min(width, BLOCK_COLUMNS))
+    # a product reads its matrices several times; what a lost executor kept is made again from the written blocks
+    return made.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _release(matrix_: BlockMatrix) -> None:
+    matrix_._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def local_matrix(values: np.ndarray, spark) -> BlockMatrix:
@@ -201,7 +207,9 @@ def whiten(
     width = len(order)
     trimmed = F.expr(f"substring(rows, 1, size(ids) * {8 * width})")
     whitened = stage(centred.drop("rows").join(projected, "block").withColumn("rows", trimmed), "whitened-blocks")
+    _release(matrix_)
     again = block_matrix(whitened, height, width, _column_means(whitened, width, n))
     error = float(np.abs(scatter(again, count) / n - np.eye(width)).max())
+    _release(again)
     explained = (values[order] / np.trace(covariance)).tolist()
     return whitened.select("ids", "deviations", "rows").mapInArrow(_long(n, explained, error), _RESULT)
