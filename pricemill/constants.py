@@ -107,7 +107,14 @@ FM_FACTORS = 247
 FM_L2 = 0.018493058691917252
 FM_INIT = 0.02883106077640207
 FM_ITERATIONS = 8
+FM_L2_RANGE = (0.005, 0.02)
+FM_INIT_RANGE = (0.015, 0.055)
+FM_FACTORS_RANGE = (240, 255)
 
 # Least number of train rows of an n-gram, minus one.
 NAME_TRAIN_DF = 2
 DESCRIPTION_TRAIN_DF = 6
+
+# Our own: size of a step of the factorisation machine, and the rows that a step takes.
+FM_STEP = 0.01
+FM_BATCH_ROWS = 65536

@@ -6,6 +6,7 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, functions as F
 
 from pricemill.constants import (
+    FM_FACTORS,
     PRICE_CEILING,
     PRICE_FLOOR,
     RIDGE_MAX_ITER,
@@ -33,11 +34,11 @@ def with_target(rows: DataFrame) -> DataFrame:
 
 
 def tfidf_rows(raw: DataFrame, slots: int = M.MODEL_SLOTS, impute: bool = True) -> DataFrame:
-    """TF-IDF vectors of priced train rows and all test rows, staged for the fit."""
+    """TF-IDF vectors of priced train rows and all test rows, over slots of both splits, staged for the fit."""
     priced = raw.where((F.col("split") == "test") | (F.col("price") > 0))
     rows = with_target(lowered_listings(priced.fillna({"shipping": 0, "item_condition_id": 1}), impute))
-    vectors = M.stage(M.hashed_vectors(rows, all_blocks(tfidf_blocks()), slots))
-    return M.stage(M.tfidf_vectors(vectors))
+    hashed = M.stage(M.hashed_rows(rows, all_blocks(tfidf_blocks()), slots))
+    return M.stage(M.on_slots(hashed, M.tfidf_slots(hashed)))
 
 
 def ridge_prices(
@@ -53,14 +54,19 @@ def ridge_prices(
     return predictions.select("row_id", target_to_price(F.col("pred"), floor=0.0).alias("price"))
 
 
-def weighted_rows(raw: DataFrame, slots: int = M.MODEL_SLOTS) -> DataFrame:
-    """Order-weighted vectors of all rows, staged, slots of rare features emptied."""
+def weighted_slots(raw: DataFrame, slots: int = M.MODEL_SLOTS) -> DataFrame:
+    """Order-weighted features of all rows in their slots, staged."""
     cleaned = separated_description(clean_listings(raw))
     known = mask_unseen(mask_unseen(cleaned, "category_name"), "brand_name")
     bags = all_blocks(weighted_blocks())
-    vectors = M.stage(M.hashed_vectors(with_target(known), bags, slots, slot_of=M.block_slot))
-    # staged again: a fit runs many short jobs, and each would ship the whole plan with its factors
-    return M.stage(M.block_pruned_vectors(vectors, vectors.where("split = 'train'"), slots))
+    return M.stage(M.hashed_rows(with_target(known), bags, slots, M.block_slot))
+
+
+def weighted_rows(raw: DataFrame, slots: int = M.MODEL_SLOTS) -> DataFrame:
+    """Order-weighted vectors of all rows over the slots that enough training rows use, staged."""
+    hashed = weighted_slots(raw, slots)
+    # staged again: a fit runs many short jobs, and each would ship the whole plan with its dictionary
+    return M.stage(M.on_slots(hashed, M.train_slots(hashed, M.block_least(slots))))
 
 
 def pooled_rows(raw: DataFrame, vocabulary: int = VOCABULARY_SIZE) -> DataFrame:
@@ -87,7 +93,7 @@ def blended_prices(
     raw: DataFrame,
     weights: dict[str, float],
     slots: int = M.MODEL_SLOTS,
-    factors: int = 8,
+    factors: int = FM_FACTORS,
     vector_size: int = 32,
     max_iter: int = 50,
 ) -> DataFrame:
@@ -95,14 +101,12 @@ def blended_prices(
     embeddings, blended on the log scale, taken back to prices and clamped."""
     sparse, pooled = weighted_rows(raw, slots), pooled_rows(raw)
     train, test = sparse.where("split = 'train'"), sparse.where("split = 'test'")
-    parts = {
-        "linear": M.predict(M.fit_elastic_net(train, max_iter=max_iter), test, "linear"),
-        "factorisation": M.predict(M.fit_factorisation_machine(train, factors), test, "factorisation"),
-        "embedding": M.predict(
-            fit_pooled_embedding(pooled, vector_size), pooled.where("split = 'test'"), "embedding"
-        ),
-    }
-    predictions = parts["linear"].unionByName(parts["factorisation"]).unionByName(parts["embedding"])
+    linear, factorisation, embedding = M.side_by_side([
+        lambda: M.predict(M.fit_elastic_net(train, max_iter=max_iter), test, "linear"),
+        lambda: M.predict(M.fit_factorisation_machine(train, factors), test, "factorisation"),
+        lambda: M.predict(fit_pooled_embedding(pooled, vector_size), pooled.where("split = 'test'"), "embedding"),
+    ])
+    predictions = linear.unionByName(factorisation).unionByName(embedding)
     blend = weighted_blend(predictions, weights)
     price = target_to_price(F.col("pred"), floor=PRICE_FLOOR, ceiling=PRICE_CEILING)
     return blend.select("row_id", price.alias("price"))

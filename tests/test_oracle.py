@@ -5,10 +5,6 @@ from oracle_harness import compare, connect
 
 from pricemill.catalog import CATALOG
 
-# fits of many models; their parts are tested in test_models.py
-SLOW = {"blended_prices", "cross_validation", "fm_fit_predict", "pooled_embedding_fit", "elastic_net_fit", "param_search"}
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
@@ -19,7 +15,7 @@ def test_agrees_with_sql(spark, con, sf_dir, name):
     assert compare(spark, con, name, CATALOG.queries[name], CATALOG.sql[name], sf_dir) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(CATALOG.queries) - set(CATALOG.sql) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(CATALOG.queries) - set(CATALOG.sql)))
 def test_gives_rows(spark, sf_dir, name):
     assert CATALOG.queries[name](spark, sf_dir).count() > 0
 
