@@ -1,6 +1,7 @@
 """Ranks, joins, folds, fuzzy lookup, filling and evaluation against brute force."""
 
 import math
+import random
 import statistics
 from itertools import product
 
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
-from pricemill.functions.distance import _distances, osa_distance
+from pricemill.functions.distance import osa_distance
 from pricemill.functions.numeric import erfinv
 from pricemill.operators import brands, encode, evaluate, features, fuzzy, joins, ranking, scale
 
@@ -33,11 +34,28 @@ def test_distance_examples(spark):
         assert row.x == row.d and row.y == (row.d if row.d <= 2 else None)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.text("abc", max_size=7), st.text("abc", max_size=7)), min_size=1, max_size=20))
-def test_distance_property(pairs):
-    left, right = map(list, zip(*pairs))
-    assert _distances(left, right).tolist() == [osa(a, b) for a, b in pairs]
+def test_distance_of_random_pairs(spark):
+    """Few letters, so that swaps are frequent; lengths about the borders of blocks; characters of all widths."""
+    rng = random.Random(8)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(word(rng.randint(0, 7), "abc"), word(rng.randint(0, 7), "abc")) for _ in range(1500)]
+    pairs += [(word(rng.randint(0, 6), "aé𝄞"), word(rng.randint(0, 6), "aé𝄞")) for _ in range(100)]
+    for n in (59, 60, 61, 62, 119, 120, 121, 180):
+        for letters in ("ab", "abcdefgh"):
+            a = word(n, letters)
+            b = list(a)
+            for _ in range(rng.randint(1, 12)):
+                i = rng.randrange(1, len(b))
+                b[i - 1 : i + 1] = rng.choice([[b[i], b[i - 1]], [b[i]], [b[i - 1], "x", b[i]], ["y", b[i]]])
+            pairs += [(a, "".join(b)), (a, word(n + rng.randint(-3, 3), letters))]
+    # swaps across the border of two blocks, one after another
+    pairs += [("a" * 59 + "bc" + "d" * 70, "a" * 59 + "cb" + "d" * 70), ("xy" * 70, "yx" * 70)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)] + [(-1, None, "a"), (-2, "a", None)], "i int, a string, b string")
+    distances = rows.select("i", osa_distance(F.col("a"), F.col("b")).alias("d"), osa_distance(F.col("a"), F.col("b"), 3).alias("near"))
+    assert "Python" not in distances._jdf.queryExecution().toString()
+    for r in distances.collect():
+        wanted = osa(*pairs[r.i]) if r.i >= 0 else None
+        assert r.d == wanted and r.near == (wanted if wanted is not None and wanted <= 3 else None), pairs[r.i]
 
 
 @pytest.mark.parametrize("limit", [1, 2, 3])
