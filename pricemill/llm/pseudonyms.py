@@ -149,7 +149,18 @@ def _ip(text: str, step: Step) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+@lru_cache(maxsize=64)
+def _days(century: int, late: bool) -> list[int]:
+    """The days of a century, as ordinals: those after the 12th of their month, or the others."""
+    first = datetime.date(max(century, 1), 1, 1).toordinal()
+    last = datetime.date(century + 99, 12, 31).toordinal()
+    return [day for day in range(first, last + 1) if (datetime.date.fromordinal(day).day > 12) == late]
+
+
 def _date(text: str, step: Step) -> str | None:
+    """A date stays in its century and on its side of the 12th. A text that can only be read month first
+    (its day is after the 12th) so becomes another such text, and every pseudonym is read in the order of
+    its value; equal dates get equal pseudonyms in whatever order they are written."""
     separator = re.search(r"\D", text).group()
     parts = text.split(separator)
     orders = ["ymd"] if len(parts[0]) == 4 else ["dmy", "mdy"]
@@ -159,11 +170,10 @@ def _date(text: str, step: Step) -> str | None:
             break
     else:
         return None
-    century = year - year % 100
-    first = datetime.date(max(century, 1), 1, 1).toordinal()
-    last = datetime.date(century + 99, 12, 31).toordinal()
-    value = step(datetime.date(year, month, day).toordinal() - first, last - first + 1, b"date:%d" % century)
-    new = datetime.date.fromordinal(first + value)
+    century, late = year - year % 100, day > 12
+    days = _days(century, late)
+    place = bisect_left(days, datetime.date(year, month, day).toordinal())
+    new = datetime.date.fromordinal(days[step(place, len(days), b"date:%d:%d" % (century, late))])
     fields = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
     return separator.join(fields[c] for c in order)
 
