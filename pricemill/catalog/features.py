@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pricemill.catalog.brands import cascade_sql
 from pricemill.catalog.registry import CATALOG, FILLED, with_cleaned, with_listings
 from pricemill.catalog.text import LEVELS_3, _units
 from pricemill.constants import DESCRIPTION_NGRAM_WEIGHTS, HASH_SLOTS, NAME_NGRAM_WEIGHTS
@@ -110,21 +111,13 @@ def word_ngrams(spark, sf_dir):
 @CATALOG.query(
     "description_ngrams",
     with_listings(
-        """SELECT row_id, count(DISTINCT feature) AS n_features, count(*)::DOUBLE AS total,
-                  min(feature) AS first_feature, max(feature) AS last_feature
-           FROM grams GROUP BY row_id""",
+        "SELECT row_id, feature, count(*)::DOUBLE AS value FROM grams GROUP BY ALL",
         FILLED,
         grams("item_description", 3, "filled", words_without_stops("item_description")),
     ).replace("coalesce(item_description, 'missvalue')", "coalesce(item_description, '')"),
 )
 def description_ngrams(spark, sf_dir):
-    grams_of = X.explode_bag(listings(spark, sf_dir), bag(X.ngram_tokens(F.col("item_description"), 1, 3)))
-    return grams_of.groupBy("row_id").agg(
-        F.count(F.lit(1)).alias("n_features"),
-        F.sum("value").alias("total"),
-        F.min("feature").alias("first_feature"),
-        F.max("feature").alias("last_feature"),
-    )
+    return X.explode_bag(listings(spark, sf_dir), bag(X.ngram_tokens(F.col("item_description"), 1, 3)))
 
 
 @CATALOG.query("hashed_ngrams")
@@ -149,16 +142,17 @@ def weighted_ngrams(spark, sf_dir):
     return X.explode_bag(_clean(spark, sf_dir, False), weighted).withColumn("value", F.round("value", 9))
 
 
+DESCRIBED = """described AS (SELECT row_id, split,
+  CASE WHEN contains(category_name, '/') THEN trim(split_part(category_name, '/', 2)) ELSE 'missvalue' END
+  || ' . . ' || name || ' . . ' || item_description AS item_description FROM cleaned)"""
+
+
 @CATALOG.query(
     "weighted_description_ngrams",
     with_cleaned(
-        f"""SELECT row_id, count(*) AS n_features, round(sum(v) / sqrt(sum(v * v)), 6) AS total,
-                   round(max(v) / sqrt(sum(v * v)), 6) AS largest
-            FROM (SELECT row_id, feature, count(*) * {WEIGHTS['description']} AS v FROM grams GROUP BY row_id, k, feature)
-            GROUP BY row_id""",
-        """described AS (SELECT row_id, split,
-             CASE WHEN contains(category_name, '/') THEN trim(split_part(category_name, '/', 2)) ELSE 'missvalue' END
-             || ' . . ' || name || ' . . ' || item_description AS item_description FROM cleaned)""",
+        f"""SELECT row_id, feature, round(v / sqrt(sum(v * v) OVER (PARTITION BY row_id)), 6) AS value
+            FROM (SELECT row_id, feature, count(*) * {WEIGHTS['description']} AS v FROM grams GROUP BY row_id, k, feature)""",
+        DESCRIBED,
         grams("item_description", 3, "described", space_words("item_description")),
     ),
 )
@@ -167,15 +161,7 @@ def weighted_description_ngrams(spark, sf_dir):
     weighted = X.order_weighted_bag(
         F.col("item_description"), DESCRIPTION_NGRAM_WEIGHTS, binary=False, normalize=True
     )
-    return (
-        X.explode_bag(rows, weighted)
-        .groupBy("row_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_features"),
-            F.round(F.sum("value"), 6).alias("total"),
-            F.round(F.max("value"), 6).alias("largest"),
-        )
-    )
+    return X.explode_bag(rows, weighted).withColumn("value", F.round("value", 6))
 
 
 @CATALOG.query(
@@ -186,23 +172,19 @@ def document_frequency(spark, sf_dir):
     return X.document_frequency(_words(spark, sf_dir))
 
 
-def _per_feature(features):
-    return features.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total"))
-
-
-PER_FEATURE = "SELECT feature, count(*) AS n_rows, sum(value) AS total FROM counted GROUP BY feature HAVING "
+KEPT = "SELECT row_id, feature, value FROM counted WHERE feature IN (SELECT feature FROM counted GROUP BY feature HAVING "
 
 
 @CATALOG.query(
     "df_filter",
     with_cleaned(
-        PER_FEATURE + "count(*) >= 10 AND count(*) <= 0.5 * (SELECT count(*) FROM cleaned)",
+        KEPT + "count(*) >= 10 AND count(*) <= 0.5 * (SELECT count(*) FROM cleaned))",
         counted("item_description"),
     ),
 )
 def df_filter(spark, sf_dir):
     n_rows = _clean(spark, sf_dir, False).agg(F.count(F.lit(1))).scalar()
-    return _per_feature(X.df_filter(_words(spark, sf_dir), 10, 0.5, n_rows))
+    return X.df_filter(_words(spark, sf_dir), 10, 0.5, n_rows)
 
 
 @CATALOG.query(
@@ -223,47 +205,43 @@ def train_df_filter(spark, sf_dir):
 @CATALOG.query(
     "features_in_both_splits",
     with_cleaned(
-        PER_FEATURE + "count(*) FILTER (split = 'train') >= 1 AND count(*) FILTER (split = 'test') >= 1",
+        KEPT + "count(*) FILTER (split = 'train') >= 1 AND count(*) FILTER (split = 'test') >= 1)",
         counted("item_description"),
     ),
 )
 def features_in_both_splits(spark, sf_dir):
-    return _per_feature(X.features_in_both_splits(_words(spark, sf_dir, "split"), min_df=1))
+    return X.features_in_both_splits(_words(spark, sf_dir, "split"), min_df=1).drop("split")
 
 
 @CATALOG.query(
     "tfidf",
     with_cleaned(
-        """SELECT row_id, count(*) AS n_features, round(sum(v) / sqrt(sum(v * v)), 6) AS total,
-                  round(max(v) / sqrt(sum(v * v)), 6) AS largest
-           FROM (SELECT row_id, value * (ln((1 + (SELECT count(*) FROM cleaned)) / (1 + df)) + 1) AS v
-                 FROM counted JOIN (SELECT feature, count(*) AS df FROM counted GROUP BY feature) USING (feature))
-           GROUP BY row_id""",
+        """SELECT row_id, feature, round(v / sqrt(sum(v * v) OVER (PARTITION BY row_id)), 6) AS value
+           FROM (SELECT row_id, feature, value * (ln((1 + (SELECT count(*) FROM cleaned)) / (1 + df)) + 1) AS v
+                 FROM counted JOIN (SELECT feature, count(*) AS df FROM counted GROUP BY feature) USING (feature))""",
         counted("item_description"),
     ),
 )
 def tfidf(spark, sf_dir):
     n_rows = _clean(spark, sf_dir, False).agg(F.count(F.lit(1))).scalar()
-    weighted = X.tfidf(_words(spark, sf_dir), n_rows)
-    return weighted.groupBy("row_id").agg(
-        F.count(F.lit(1)).alias("n_features"),
-        F.round(F.sum("value"), 6).alias("total"),
-        F.round(F.max("value"), 6).alias("largest"),
-    )
+    return X.tfidf(_words(spark, sf_dir), n_rows).withColumn("value", F.round("value", 6))
 
 
+PLAIN = f"""plain AS MATERIALIZED (
+  SELECT row_id, split, {_units("lower(l.name)")} AS name, lower(coalesce(l.brand_name, '')) AS brand_name,
+         (l.brand_name IS NOT NULL)::INTEGER AS has_brand, coalesce(l.shipping, 0) AS shipping,
+         coalesce(l.item_condition_id, 1) AS item_condition_id,
+         {_units("CASE WHEN l.item_description = 'No description yet' THEN '' ELSE lower(coalesce(l.item_description, '')) END")}
+           AS item_description,
+         general_cat, subcat_1, subcat_2, gen_subcat1
+  FROM listings l JOIN levels USING (row_id))"""
+
 LOWERED = f"""lowered AS MATERIALIZED (
-  SELECT row_id, split, name || ' ' || brand_name AS name, brand_name, general_cat, subcat_1, subcat_2, gen_subcat1,
+  SELECT row_id, split, name || ' ' || c.brand_name AS name, c.brand_name, general_cat, subcat_1, subcat_2, gen_subcat1,
          has_brand, shipping, item_condition_id,
-         item_description || ' ' || name || ' ' || brand_name || ' ' || subcat_1 || ' ' || subcat_2 || ' '
-           || general_cat || ' ' || brand_name AS item_description
-  FROM (SELECT row_id, split, {_units("lower(l.name)")} AS name, lower(coalesce(l.brand_name, '')) AS brand_name,
-               (l.brand_name IS NOT NULL)::INTEGER AS has_brand, coalesce(l.shipping, 0) AS shipping,
-               coalesce(l.item_condition_id, 1) AS item_condition_id,
-               {_units("CASE WHEN l.item_description = 'No description yet' THEN '' ELSE lower(coalesce(l.item_description, '')) END")}
-                 AS item_description,
-               general_cat, subcat_1, subcat_2, gen_subcat1
-        FROM listings l JOIN levels USING (row_id)))"""
+         item_description || ' ' || name || ' ' || c.brand_name || ' ' || subcat_1 || ' ' || subcat_2 || ' '
+           || general_cat || ' ' || c.brand_name AS item_description
+  FROM plain JOIN ({cascade_sql("plain")}) c USING (row_id))"""
 
 
 def _gram_counts(column: str, orders: int) -> str:
@@ -300,9 +278,9 @@ UNION = "blocks AS MATERIALIZED (\n" + "\nUNION ALL ".join(
         _whole("gencat_cond", "general_cat || '_' || item_condition_id::VARCHAR"),
         _whole("subcat_1_cond", "subcat_1 || '_' || item_condition_id::VARCHAR"),
         _whole("subcat_2_cond", "subcat_2 || '_' || item_condition_id::VARCHAR"),
-        _whole("has_brand", "has_brand::VARCHAR"),
-        _whole("shipping", "shipping::VARCHAR"),
-        _whole("item_condition_id", "item_condition_id::VARCHAR"),
+        _whole("has_brand", "'has_brand=' || has_brand::VARCHAR"),
+        _whole("shipping", "'shipping=' || shipping::VARCHAR"),
+        _whole("item_condition_id", "'item_condition_id=' || item_condition_id::VARCHAR"),
         _gram_counts("item_description", 3),
     ]
 ) + ")"
@@ -311,37 +289,52 @@ UNION = "blocks AS MATERIALIZED (\n" + "\nUNION ALL ".join(
 @CATALOG.query(
     "feature_union",
     with_listings(
-        """SELECT row_id, block, count(*) AS n_features, round(sum(value), 6) AS total
-           FROM blocks JOIN (SELECT block, feature FROM blocks GROUP BY ALL HAVING count(*) >= 2) USING (block, feature)
-           GROUP BY ALL""",
+        """SELECT row_id, block || ':' || feature AS feature, round(value, 6) AS value
+           FROM blocks JOIN (SELECT block, feature FROM blocks GROUP BY ALL HAVING count(*) >= 2) USING (block, feature)""",
         LEVELS_3,
+        PLAIN,
         LOWERED,
         UNION,
     ),
 )
 def feature_union(spark, sf_dir):
     rows = listings(spark, sf_dir).fillna({"shipping": 0, "item_condition_id": 1})
-    features = tfidf_union(lowered_listings(rows, impute=False))
-    block = F.substring_index("feature", ":", 1)
-    return features.groupBy("row_id", block.alias("block")).agg(
-        F.count(F.lit(1)).alias("n_features"), F.round(F.sum("value"), 6).alias("total")
-    )
+    return tfidf_union(lowered_listings(rows)).withColumn("value", F.round("value", 6))
+
+
+def _word_counts(block: str, column: str) -> str:
+    return f"""SELECT row_id, '{block}:' || f, count(*)::DOUBLE
+      FROM (SELECT row_id, unnest(regexp_extract_all(lower({column}), '{TOKEN}')) AS f FROM levelled) GROUP BY ALL"""
+
+
+def _renamed(tables: str, block: str) -> str:
+    """The common tables of n-grams under the names of one block."""
+    return tables.replace("tokens", f"{block}_tokens").replace("grams AS", f"{block}_grams AS")
 
 
 @CATALOG.query(
     "weighted_union",
     with_cleaned(
-        """SELECT row_id, 'name' AS block, count(*) AS n_features FROM (SELECT DISTINCT row_id, feature FROM grams) GROUP BY ALL
-           UNION ALL SELECT row_id, 'onehot', 3 FROM cleaned UNION ALL SELECT row_id, 'dummies', 2 FROM cleaned
-           UNION ALL SELECT row_id, 'words_brand_name', count(DISTINCT f)
-             FROM (SELECT row_id, unnest(regexp_extract_all(brand_name, '[\\p{L}\\p{N}_]{2,}')) AS f FROM cleaned) GROUP BY ALL""",
-        grams("name", 2, "cleaned", space_words("name")),
+        f"""SELECT DISTINCT row_id, 'name:' || feature AS feature, round({WEIGHTS['name']}, 6) AS value FROM name_grams
+           UNION ALL SELECT row_id, 'description:' || feature, round(v / sqrt(sum(v * v) OVER (PARTITION BY row_id)), 6)
+             FROM (SELECT row_id, feature, count(*) * {WEIGHTS['description']} AS v FROM description_grams GROUP BY row_id, k, feature)
+           UNION ALL {_word_counts('words_category_2', 'category_2')}
+           UNION ALL {_word_counts('words_category_name', 'category_name')}
+           UNION ALL {_word_counts('words_brand_name', 'brand_name')}
+           UNION ALL SELECT row_id, 'onehot:category_1=' || category_1, 1.0 FROM levelled
+           UNION ALL SELECT row_id, 'onehot:category_name=' || category_name, 1.0 FROM levelled
+           UNION ALL SELECT row_id, 'onehot:brand_name=' || brand_name, 1.0 FROM levelled
+           UNION ALL SELECT row_id, 'dummies:item_condition_id=' || item_condition_id::VARCHAR, 1.0 FROM levelled
+           UNION ALL SELECT row_id, 'dummies:shipping', shipping FROM levelled""",
+        """levelled AS MATERIALIZED (
+             SELECT *, CASE WHEN contains(category_name, '/') THEN trim(split_part(category_name, '/', 1)) ELSE category_name END AS category_1,
+                    CASE WHEN contains(category_name, '/') THEN trim(split_part(category_name, '/', 2)) ELSE 'missvalue' END AS category_2
+             FROM cleaned)""",
+        DESCRIBED,
+        _renamed(grams("name", 2, "cleaned", space_words("name")), "name"),
+        _renamed(grams("item_description", 3, "described", space_words("item_description")), "description"),
     ),
 )
 def weighted_union(spark, sf_dir):
-    rows = _clean(spark, sf_dir, False)
-    wanted = ("name", "words_brand_name", "onehot", "dummies")
-    blocks = {k: v for k, v in weighted_blocks().items() if k in wanted}
-    features = X.feature_union(rows, blocks)
-    block = F.substring_index("feature", ":", 1)
-    return features.groupBy("row_id", block.alias("block")).agg(F.count(F.lit(1)).alias("n_features"))
+    rows = separated_description(_clean(spark, sf_dir))
+    return X.feature_union(rows, weighted_blocks()).withColumn("value", F.round("value", 6))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pricemill.catalog.brands import cascade_sql
 from pricemill.catalog.registry import (
     CATALOG, FILLED, SPACE, decimals, keep, tidy, whitelist, with_cleaned, with_listings,
 )
@@ -192,20 +193,23 @@ def separated_description_query(spark, sf_dir):
 @CATALOG.query(
     "lowered_listings",
     with_listings(
-        f"""SELECT row_id, has_category, has_brand, n || ' ' || b AS name,
-                   d || ' ' || n || ' ' || b || ' ' || subcat_1 || ' ' || subcat_2 || ' ' || general_cat || ' ' || b
-                     AS item_description
-            FROM (SELECT l.row_id, (l.category_name IS NOT NULL)::INTEGER AS has_category,
-                         (l.brand_name IS NOT NULL)::INTEGER AS has_brand,
-                         {_units("lower(coalesce(l.name, ''))")} AS n, lower(coalesce(l.brand_name, '')) AS b,
-                         {_units("CASE WHEN l.item_description = 'No description yet' THEN '' ELSE lower(coalesce(l.item_description, '')) END")} AS d,
-                         subcat_1, subcat_2, general_cat
-                  FROM listings l JOIN levels USING (row_id))""",
+        f"""SELECT row_id, has_category, has_brand, name || ' ' || c.brand_name AS name,
+                   item_description || ' ' || name || ' ' || c.brand_name || ' ' || subcat_1 || ' ' || subcat_2 || ' '
+                     || general_cat || ' ' || c.brand_name AS item_description
+            FROM plain JOIN ({cascade_sql("plain")}) c USING (row_id)""",
         LEVELS_3,
+        f"""plain AS MATERIALIZED (
+              SELECT l.row_id, (l.category_name IS NOT NULL)::INTEGER AS has_category,
+                     (l.brand_name IS NOT NULL)::INTEGER AS has_brand,
+                     {_units("lower(coalesce(l.name, ''))")} AS name, lower(coalesce(l.brand_name, '')) AS brand_name,
+                     {_units("CASE WHEN l.item_description = 'No description yet' THEN '' ELSE lower(coalesce(l.item_description, '')) END")}
+                       AS item_description,
+                     subcat_1, subcat_2, general_cat
+              FROM listings l JOIN levels USING (row_id))""",
     ),
 )
 def lowered_listings_query(spark, sf_dir):
-    rows = lowered_listings(listings(spark, sf_dir), impute=False)
+    rows = lowered_listings(listings(spark, sf_dir))
     return rows.select("row_id", "has_category", "has_brand", "name", "item_description")
 
 

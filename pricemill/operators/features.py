@@ -25,7 +25,8 @@ from pricemill.functions.sequences import (
     word_ngrams,
 )
 from pricemill.functions.text import find_tokens
-from pricemill.operators.joins import lookup_join
+from pricemill.operators.joins import HOT_SHARE
+from pricemill.session import stage
 
 
 def explode_bag(df: DataFrame, bag_column: Column, *keep: str) -> DataFrame:
@@ -78,54 +79,64 @@ def feature_union(df: DataFrame, blocks: Mapping[str, Column]) -> DataFrame:
     return explode_bag(df, concat_bags(*[prefixed(b, name) for name, b in blocks.items()]))
 
 
-def union_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The same from feature tables that exist already."""
-    named = [
-        t.select("row_id", F.concat(F.lit(name + ":"), "feature").alias("feature"), "value")
-        for name, t in tables.items()
-    ]
-    result = named[0]
-    for table in named[1:]:
-        result = result.unionByName(table)
-    return result
-
-
 def document_frequency(features: DataFrame) -> DataFrame:
     """``(feature, df)``: rows that have the feature."""
     return features.groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
 
 
-def keep_features(features: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows whose feature is in ``kept(feature, df)``; ``df`` tells which features are hot."""
-    table = kept.select("feature", "df", F.lit(True).alias("_kept"))
-    return lookup_join(features, table, "feature", F.col("row_id"), weight="df").where("_kept").drop("_kept")
+def keyed_features(features: DataFrame) -> DataFrame:
+    """The features with a 64-bit ``key`` of their names, staged: they are counted, then read again."""
+    return stage(features.withColumn("key", F.xxhash64("feature")), "features")
+
+
+def feature_dictionary(keyed: DataFrame) -> DataFrame:
+    """``(key, feature, df)``, with ``train`` and ``test`` if there is a split: each name once, staged.
+
+    Rows are moved by keys alone, and names come back from here; two names with one key (a chance of
+    one in thirty thousand among a billion names) are an error.
+    """
+    by_split = [F.count_if(F.col("split") == s).alias(s) for s in ("train", "test") if "split" in keyed.columns]
+    names = stage(keyed.groupBy("key", "feature").agg(F.count(F.lit(1)).alias("df"), *by_split), "feature-dictionary")
+    if not names.groupBy("key").count().where("count > 1").isEmpty():
+        raise ValueError("two features have one key")
+    return names
+
+
+def with_entries(keyed: DataFrame, dictionary: DataFrame, kept: Column, **values: Column) -> DataFrame:
+    """The rows whose feature is ``kept`` (a condition on the dictionary), with ``values`` computed there.
+
+    Fewer than 1000 features hold more than 1/1000 of the rows each; those are answered by a broadcast. The
+    others' rows meet the dictionary on their keys, shuffled without names.
+    """
+    total = dictionary.agg(F.sum("df")).first()[0] or 0
+    hot = F.col("df") * HOT_SHARE > total
+    entries = lambda where: dictionary.where(where).select("key", "feature", *[v.alias(k) for k, v in values.items()])
+    rows = keyed.drop("feature")
+    near = rows.join(F.broadcast(entries(kept & hot)), "key")
+    rest = rows.join(F.broadcast(dictionary.where(hot).select("key")), "key", "left_anti")
+    return near.unionByName(rest.join(entries(kept & ~hot), "key")).select(*[c for c in keyed.columns if c != "key"], *values)
 
 
 def df_filter(features: DataFrame, min_df: int = 1, max_df: float = 1.0, n_rows: Column | None = None) -> DataFrame:
     """Features in at least ``min_df`` rows and, if ``max_df < 1``, in at most that share of them."""
-    frequencies = document_frequency(features).where(F.col("df") >= min_df)
+    keyed = keyed_features(features)
+    kept = F.col("df") >= min_df
     if max_df < 1.0:
-        total = features.agg(F.count_distinct("row_id")).scalar() if n_rows is None else n_rows
-        frequencies = frequencies.where(F.col("df") <= total * F.lit(max_df))
-    return keep_features(features, frequencies)
+        total = keyed.agg(F.count_distinct("row_id")).scalar() if n_rows is None else n_rows
+        kept = kept & (F.col("df") <= total * F.lit(max_df))
+    return with_entries(keyed, feature_dictionary(keyed), kept)
 
 
 def train_df_filter(features: DataFrame, k: int) -> DataFrame:
     """Features in more than ``k`` train rows, kept for all rows. ``features`` has ``split``."""
-    per_feature = features.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("df"), F.count_if(F.col("split") == "train").alias("_train")
-    )
-    return keep_features(features, per_feature.where(F.col("_train") > k))
+    keyed = keyed_features(features)
+    return with_entries(keyed, feature_dictionary(keyed), F.col("train") > k)
 
 
 def features_in_both_splits(features: DataFrame, min_df: int = 1) -> DataFrame:
     """Features in at least ``min_df`` train rows and as many test rows."""
-    per_feature = features.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("df"),
-        F.count_if(F.col("split") == "train").alias("_train"),
-        F.count_if(F.col("split") == "test").alias("_test"),
-    )
-    return keep_features(features, per_feature.where((F.col("_train") >= min_df) & (F.col("_test") >= min_df)))
+    keyed = keyed_features(features)
+    return with_entries(keyed, feature_dictionary(keyed), (F.col("train") >= min_df) & (F.col("test") >= min_df))
 
 
 def whole_value_onehot(df: DataFrame, column: str, min_df: int = 2) -> DataFrame:
@@ -143,9 +154,9 @@ def l2_normalize_rows(features: DataFrame) -> DataFrame:
 def tfidf(features: DataFrame, n_rows: Column) -> DataFrame:
     """Smooth inverse document frequency ``ln((1 + n) / (1 + df)) + 1`` times the value, then the
     row norm. ``n_rows`` counts all rows, with or without features."""
-    weights = document_frequency(features).withColumn(
-        "_idf", F.log((F.lit(1) + n_rows) / (F.lit(1) + F.col("df"))) + 1
-    )
-    weighted = lookup_join(features, weights, "feature", F.col("row_id"), weight="df")
-    scaled = weighted.withColumn("value", F.col("value") * F.col("_idf")).drop("_idf")
-    return l2_normalize_rows(scaled)
+    keyed = keyed_features(features)
+    idf = F.log((F.lit(1) + n_rows) / (F.lit(1) + F.col("df"))) + 1
+    weighted = with_entries(keyed, feature_dictionary(keyed), F.lit(True), _idf=idf)
+    scaled = stage(weighted.withColumn("value", F.col("value") * F.col("_idf")).drop("_idf"), "weighted-features")
+    norms = scaled.groupBy("row_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
+    return scaled.join(norms, "row_id").select(*[c for c in features.columns if c != "value"], (F.col("value") / F.col("_norm")).alias("value"))
