@@ -11,23 +11,20 @@ A table of bits of bounded size keeps seeds that no test seed equals out of the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricemill.session import stage
 
 # Masks of the seeds: 1 keeps the token at this place, 0 ignores it. Every aligned stretch of at least LEAST_TOKENS
-# tokens with LEAST_PERCENT equal agrees with one of them somewhere; the first lies inside both of MASKS.
+# tokens with LEAST_PERCENT equal agrees with one of them somewhere.
 SEEDS = ("111011", "11111")
 # The least overlap, and the share that must agree.
 LEAST_TOKENS = 13
 LEAST_PERCENT = 80
 # Tokens before and after the start of a seed: all stretches of fewer than 2 * LEAST_TOKENS tokens that hold it.
 BEFORE, AFTER = 2 * LEAST_TOKENS - 6, 2 * LEAST_TOKENS - 2
-# What ``hits`` counts: agreement with one of these masks at every STRIDE-th token of a document, where the tokens up
-# to FLANK on both sides agree too.
-MASKS = ("11011101101", "10111011011")
-STRIDE = 4
-FLANK = 6
 # The table of bits that documents' seeds must pass has 32 bits per test seed, between these powers of two:
 # at most 512 KB. It only saves work; with a benchmark beyond it more seeds are joined.
 LEAST_BITS, MOST_BITS = 16, 22
@@ -39,7 +36,7 @@ def tokens(text: str) -> Column:
 
 
 def _seeds(hashes: Column, may_meet=None) -> Column:
-    """[(hash, position, token hashes around)] of the seeds at every position that ``may_meet`` a test seed."""
+    """[(hash, token hashes around)] of the seeds at every position that ``may_meet`` a test seed."""
 
     def of(mask: int) -> Column:
         kept = [i for i, bit in enumerate(SEEDS[mask]) if bit == "1"]
@@ -47,13 +44,13 @@ def _seeds(hashes: Column, may_meet=None) -> Column:
             F.array().cast("array<int>")
         )
         made = F.transform(spots, lambda at: F.xxhash64(F.lit(mask), *[F.get(hashes, at + i) for i in kept]))
-        one = lambda hash_, at: F.struct(hash_.alias("hash"), at.alias("at"), F.lit(mask).alias("mask"))
+        one = lambda hash_, at: F.struct(hash_.alias("hash"), at.alias("at"))
         if may_meet is not None:
             made = F.filter(F.transform(made, lambda h, at: F.when(may_meet(h), one(h, at))), lambda s: s.isNotNull())
         else:
             made = F.transform(made, one)
         return F.transform(made, lambda s: F.struct(
-            s["hash"].alias("hash"), s["at"].alias("at"), s["mask"].alias("mask"), _around(hashes, s["at"]).alias("around")
+            s["hash"].alias("hash"), _around(hashes, s["at"]).alias("around")
         ))
 
     return F.concat(*[of(mask) for mask in range(len(SEEDS))])
@@ -70,49 +67,41 @@ def _bits(flags: Column) -> Column:
     return F.aggregate(shifted, F.lit(0).cast("bigint"), lambda all_, bit: all_.bitwiseOR(bit))
 
 
-def _holds(bits: Column, mask: int) -> Column:
-    return bits.bitwiseAND(F.lit(mask).cast("bigint")) == mask
+def _most_wrong(n: int) -> int:
+    return n * (100 - LEAST_PERCENT) // 100
+
+
+def _part(bits: Column, at: Column, n: int) -> Column:
+    return F.call_function("shiftright", bits, at).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
+
+
+def _starts(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(BEFORE + AFTER + 1 - n))
 
 
 def _overlaps(equal: Column, both: Column) -> Column:
     """Whether a stretch of the aligned tokens, all of them inside both texts, has enough equal ones."""
-    most_wrong = lambda n: n * (100 - LEAST_PERCENT) // 100
     # a stretch of another length holds one of these that is as good
-    lengths = [n for n in range(LEAST_TOKENS, 2 * LEAST_TOKENS) if n == LEAST_TOKENS or most_wrong(n) > most_wrong(n - 1)]
-
-    def good(at: Column, n: int) -> Column:
-        part = lambda bits: F.call_function("shiftright", bits, at).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
-        return (F.bit_count(part(equal)) >= n - most_wrong(n)) & (part(both) == (1 << n) - 1)
+    lengths = [n for n in range(LEAST_TOKENS, 2 * LEAST_TOKENS) if n == LEAST_TOKENS or _most_wrong(n) > _most_wrong(n - 1)]
 
     def any_good(at: Column) -> Column:
-        found = good(at, lengths[0])
-        for n in lengths[1:]:
-            found = found | good(at, n)
-        return found
+        good = [
+            (F.bit_count(_part(equal, at, n)) >= n - _most_wrong(n)) & (_part(both, at, n) == (1 << n) - 1) for n in lengths
+        ]
+        return reduce(lambda one, other: one | other, good)
 
-    return F.exists(F.sequence(F.lit(0), F.lit(BEFORE + AFTER + 1 - LEAST_TOKENS)), any_good)
+    return F.exists(_starts(LEAST_TOKENS), any_good)
 
 
-def _counted(at: Column, equal: Column, both: Column) -> Column:
-    """[(spot, equal)] of the masks of ``hits`` that agree around a seed of the first mask; a spot is a document's token."""
-    found = []
-    for mask in MASKS:
-        inside = next(i for i in range(len(mask)) if all(s == "0" or m == "1" for s, m in zip(SEEDS[0], mask[i:])))
-        first = BEFORE - inside  # the mask's first token in the bits
-        kept = sum(1 << first + i for i, bit in enumerate(mask) if bit == "1")
-        window = _window(inside)
-        n, same = (F.bit_count(bits.bitwiseAND(F.lit(window).cast("bigint"))) for bits in (both, equal))
-        spot = at - inside
-        sure = (spot % STRIDE == 0) & _holds(equal, kept) & (n >= LEAST_TOKENS) & (100 * same >= LEAST_PERCENT * n)
-        # a mask has to lie inside both texts with the tokens that it ignores
-        sure = sure & _holds(both, sum(1 << first + i for i in range(len(mask))))
-        found.append(F.when(sure, F.struct(spot.alias("spot"), same.cast("bigint").alias("equal"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+def _most_equal(equal: Column, both: Column) -> Column:
+    """The most equal tokens of a good stretch of fewer than twice ``LEAST_TOKENS`` tokens; null if there is none."""
 
+    def best(n: int) -> Column:
+        found = F.transform(_starts(n), lambda at: F.when(_part(both, at, n) == (1 << n) - 1, F.bit_count(_part(equal, at, n))))
+        most = F.array_max(found)
+        return F.when(most >= n - _most_wrong(n), most)
 
-def _window(inside: int) -> int:
-    """The bits of a mask of ``hits`` that starts ``inside`` tokens before the seed, with its flanks."""
-    return sum(1 << BEFORE - inside + o for o in range(-FLANK, len(MASKS[0]) + FLANK))
+    return F.greatest(*[best(n) for n in range(LEAST_TOKENS, 2 * LEAST_TOKENS)])
 
 
 def _places(hash_: Column, bits: int) -> list[Column]:
@@ -141,13 +130,12 @@ def bit_test(seeds: DataFrame, n: int):
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row per document and benchmark item that overlap: the key columns, ``hits`` and ``overlap``.
+    """One row per document and benchmark item that overlap: the key columns and ``overlap``.
 
     A pair overlaps if an aligned stretch of at least ``LEAST_TOKENS`` tokens, all inside both texts, has at
-    least ``LEAST_PERCENT`` equal ones; all such pairs are found. ``hits`` counts the places of a document, of
-    every ``STRIDE``-th, where a mask of ``MASKS`` and its flanks agree as well; it is 0 for pairs that only a
-    stretch confirms. ``overlap`` is the most equal tokens around one such place, or else around one seed. Items of
-    fewer tokens than ``LEAST_TOKENS`` can't be told from chance and match nothing. Rows without a key are not reported.
+    least ``LEAST_PERCENT`` equal ones; all such pairs are found. ``overlap`` is the most equal tokens of such a stretch
+    of fewer than twice that length. Items of fewer tokens than ``LEAST_TOKENS`` can't be told from chance and match
+    nothing. Rows without a key are not reported.
     """
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
     items = benchmark.select(F.col(item).alias("_llm_item"), hashed(tokens(item_text)).alias("_llm_words"))
@@ -162,22 +150,18 @@ def contamination(
     may_meet = bit_test(item_seeds.select("hash").distinct(), item_seeds.count())
     read = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_llm_doc"), hashed(tokens(text)).alias("_llm_words"))
     seeded = read.select("_llm_doc", F.explode_outer(_seeds(F.col("_llm_words"), may_meet)).alias("s"))
-    doc_seeds = seeded.where("s is not null").select("_llm_doc", "s.hash", "s.at", "s.mask", F.col("s.around").alias("_llm_train"))
+    doc_seeds = seeded.where("s is not null").select("_llm_doc", "s.hash", F.col("s.around").alias("_llm_train"))
     met = doc_seeds.join(item_seeds, "hash")
     pairs = F.zip_with("_llm_train", "_llm_test", lambda a, b: a == b)  # null where a text has ended
     compared = met.select(
-        "_llm_doc", "_llm_item", "at", "mask",
+        "_llm_doc", "_llm_item",
         _bits(F.transform(pairs, lambda x: F.coalesce(x, F.lit(False)))).alias("same"),
         _bits(F.transform(pairs, lambda x: x.isNotNull())).alias("both"),
     )
-    around = F.bit_count(F.col("same").bitwiseAND(F.lit(_window(0)).cast("bigint"))).cast("bigint")
-    sure = compared.where(_overlaps(F.col("same"), F.col("both"))).select(
-        "_llm_doc", "_llm_item", around.alias("around"),
-        F.explode_outer(F.when(F.col("mask") == 0, _counted(F.col("at"), F.col("same"), F.col("both")))).alias("c"),
-    )
-    return sure.groupBy(F.col("_llm_doc").alias(key), F.col("_llm_item").alias(item)).agg(
-        F.count_distinct("c.spot").alias("hits"), F.coalesce(F.max("c.equal"), F.max("around")).alias("overlap")
-    )
+    # the confirmed places are few; those of a pair that say the same are one before they are measured
+    sure = compared.where(_overlaps(F.col("same"), F.col("both"))).distinct()
+    best = sure.withColumn("most", _most_equal(F.col("same"), F.col("both")))
+    return best.groupBy(F.col("_llm_doc").alias(key), F.col("_llm_item").alias(item)).agg(F.max("most").cast("bigint").alias("overlap"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricemill.catalog.registry import Catalog
-from pricemill.llm.decontaminate import FLANK, LEAST_PERCENT, LEAST_TOKENS, MASKS, STRIDE, contamination
+from pricemill.llm.decontaminate import LEAST_PERCENT, LEAST_TOKENS, contamination
 from pricemill.llm.hard_negatives import hard_negatives
 from pricemill.llm.line_dedup import build_index, drop_repeated_lines
 from pricemill.llm.near_dedup import near_duplicates
@@ -163,12 +163,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _seed_sql(words: str, at: str) -> str:
-    """The seeds at a position as texts: no hash is needed to compare them."""
-    kept = lambda mask: ", ".join(f"{words}[{at} + {i}]" for i, bit in enumerate(mask) if bit == "1")
-    return "[" + ", ".join(f"concat_ws(' ', '{n}', {kept(mask)})" for n, mask in enumerate(MASKS)) + "]"
-
-
+# All alignments: a diagonal with fewer equal tokens than the shortest stretch needs holds none, and a
+# stretch of twice LEAST_TOKENS or more has a half that is as good.
 OP6_SQL = rf"""
 WITH doc_words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words
@@ -178,24 +174,24 @@ item_words AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words
   FROM benchmark
 ),
-doc_spots AS (SELECT doc_id, words, unnest(range(1, len(words) - {len(MASKS[0]) - 2}, {STRIDE})) AS spot FROM doc_words),
-item_spots AS (
-  SELECT item_id, words, unnest(range(1, len(words) - {len(MASKS[0]) - 2})) AS spot FROM item_words
+doc_tokens AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM doc_words),
+item_tokens AS (
+  SELECT item_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM item_words
   WHERE len(words) >= {LEAST_TOKENS}
 ),
-doc_seeds AS (SELECT doc_id, words, spot, unnest({_seed_sql("words", "spot")}) AS seed FROM doc_spots),
-item_seeds AS (SELECT item_id, words, spot, unnest({_seed_sql("words", "spot")}) AS seed FROM item_spots),
-met AS (
-  SELECT d.doc_id, i.item_id, d.spot,
-         list_transform(list_filter(range(-{FLANK}, {len(MASKS[0]) + FLANK}), lambda o:
-             d.spot + o >= 1 AND d.spot + o <= len(d.words) AND i.spot + o >= 1 AND i.spot + o <= len(i.words)),
-           lambda o: d.words[d.spot + o] = i.words[i.spot + o]) AS same
-  FROM doc_seeds d JOIN item_seeds i ON d.seed = i.seed
+diagonals AS (
+  SELECT doc_id, item_id, d.at - i.at AS shift, list(d.at) AS places, any_value(d.n) AS n_doc, any_value(i.n) AS n_item
+  FROM doc_tokens d JOIN item_tokens i ON d.word = i.word
+  GROUP BY ALL HAVING 100 * count(*) >= {LEAST_PERCENT * LEAST_TOKENS}
 ),
-scored AS (SELECT doc_id, item_id, spot, len(same) AS n, len(list_filter(same, lambda x: x)) AS equal FROM met)
-SELECT doc_id, item_id, count(DISTINCT spot) AS hits, max(equal) AS overlap
-FROM scored WHERE n >= {LEAST_TOKENS} AND 100 * equal >= {LEAST_PERCENT} * n
-GROUP BY doc_id, item_id
+starts AS (
+  SELECT doc_id, item_id, places, n, unnest(range(greatest(1, 1 + shift), least(n_doc, n_item + shift) - n + 2)) AS first
+  FROM diagonals, range({LEAST_TOKENS}, {2 * LEAST_TOKENS}) AS lengths(n)
+),
+stretches AS (
+  SELECT doc_id, item_id, n, len(list_filter(places, lambda p: p >= first AND p < first + n)) AS equal FROM starts
+)
+SELECT doc_id, item_id, max(equal) AS overlap FROM stretches WHERE 100 * equal >= {LEAST_PERCENT} * n GROUP BY doc_id, item_id
 """
 
 

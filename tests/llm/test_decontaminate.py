@@ -21,6 +21,16 @@ def overlaps(a, b):
     return False
 
 
+def most_equal(a, b):
+    """The most equal tokens of a stretch of 13 to 25 tokens that is good enough."""
+    best = 0
+    for shift in range(-len(b) + 1, len(a)):
+        same = [a[i] == b[i - shift] for i in range(max(0, shift), min(len(a), len(b) + shift))]
+        for n in range(LEAST_TOKENS, 2 * LEAST_TOKENS):
+            best = max([best, *(e for e in (sum(same[s : s + n]) for s in range(len(same) - n + 1)) if 100 * e >= LEAST_PERCENT * n)])
+    return best
+
+
 def found(spark, docs, items):
     frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], f"{key} long, text string")
     docs, items = frame(docs, "doc_id"), frame(items, "item_id")
@@ -63,6 +73,17 @@ def test_few_words(spark):
     assert got == brute_force(docs, items) and 0 < len(got) < len(docs) * len(items)
 
 
+def test_overlap_is_that_of_the_best_stretch(spark):
+    rng = random.Random(9)
+    text = lambda n: [rng.choice("abcde") for _ in range(n)]
+    items = [text(rng.randint(13, 40)) for _ in range(6)]
+    docs = [text(rng.randint(0, 10)) + [w if rng.random() < 0.9 else "x" for w in rng.choice(items)] + text(5) for _ in range(30)]
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): r.overlap for r in contamination(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    wanted = {(i, k): most_equal(d, t) for i, d in enumerate(docs) for k, t in enumerate(items)}
+    assert got == {pair: n for pair, n in wanted.items() if n} and len(got) > 10
+
+
 def test_every_stretch_holds_a_seed():
     masks = [[i for i, bit in enumerate(mask) if bit == "1"] for mask in SEEDS]
     for n in (13, 15, 20, 25):  # a stretch of another length holds one of these
