@@ -44,6 +44,22 @@ def test_order_of_rules_does_not_change_verdicts(spark, sf_dir):
     assert one == two and len(set(one.values())) == 2
 
 
+def test_cheap_and_rejecting_rules_run_first(spark):
+    """Costs that differ by much are told apart in every run."""
+    docs = spark.createDataFrame([(i, f"word{i} " * 200) for i in range(300)], "doc_id long, text string")
+    measured = quality_rules.base_statistics(docs)
+    slow = F.col("text")
+    for i in range(25):
+        slow = F.regexp_replace(slow, f"w.*?{i}x", "y")
+    rules = [
+        quality_rules.Rule("dear", slow == "x"), quality_rules.Rule("dear_rejecting", F.char_length(slow) > 0),
+        quality_rules.Rule("cheap", F.col("n_words") > 10**6), quality_rules.Rule("cheap_rejecting", F.col("doc_id") % 2 == 0),
+    ]
+    for _ in range(2):
+        order = [r.name for r in quality_rules.order_rules(measured, rules, "doc_id")]
+        assert order == ["cheap_rejecting", "dear_rejecting", "cheap", "dear"]
+
+
 def spans(text):
     found = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
