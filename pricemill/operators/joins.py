@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pricemill.session import stage
+
 # A key is hot when it holds more than 1/HOT_SHARE of the rows; so there are fewer than HOT_SHARE
 # hot keys, whatever the data, and their part of the table may be broadcast.
 HOT_SHARE = 1000
@@ -78,3 +80,31 @@ def salted_match(
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_rows.join(salted_table, [*keys, "_salt"]).drop("_salt")
+
+
+def grid_match(
+    left: DataFrame, right: DataFrame, key: str, left_spread: Column, right_spread: Column, share: int = 100
+) -> DataFrame:
+    """Inner join on a key that may be hot on both sides.
+
+    A key that holds more than ``1/share`` of either side's rows is dealt over a grid: rows of the
+    left take a row of the grid by ``left_spread`` and are repeated for its columns, rows of the
+    right the other way round. There are fewer than ``2 * share`` such keys; their sizes are staged
+    and broadcast, and all pairs are found once. Both sides are read twice, the first time for the key alone.
+    """
+    keys = left.select(key, F.lit(1).alias("_left"), F.lit(0).alias("_right")).unionByName(
+        right.select(key, F.lit(0).alias("_left"), F.lit(1).alias("_right"))
+    )
+    sizes = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
+    cells = lambda name, side: F.ceil(F.col(name) * share / side.agg(F.count(F.lit(1))).scalar()).cast("int")
+    met = sizes.where("_left > 0 and _right > 0").select(F.col(key).alias("_hot"), cells("_left", left).alias("_rows"), cells("_right", right).alias("_columns"))
+    hot = stage(met.where("_rows > 1 or _columns > 1"), "hot-keys")
+
+    def placed(side: DataFrame, spread: Column, own: str, other: str) -> DataFrame:
+        dealt = side.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+        number = F.pmod(F.xxhash64(spread), F.coalesce(own, F.lit(1))).cast("int")
+        repeated = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return dealt.select(*side.columns, number.alias(f"{own}_at"), repeated.alias(f"{other}_at"))
+
+    cell = [key, "_rows_at", "_columns_at"]
+    return placed(left, left_spread, "_rows", "_columns").join(placed(right, right_spread, "_columns", "_rows"), cell).drop(*cell[1:])

@@ -73,6 +73,58 @@ def test_fuzzy_against_all_pairs(spark, limit):
     assert every.count() == len(wanted)
 
 
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_fuzzy_against_all_random_pairs(spark, limit):
+    """Edits and swaps at every place, on segment borders too; other characters than letters; nulls and empty words."""
+    rng = random.Random(limit)
+    words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 11))) for _ in range(130)}
+    for word in sorted(words)[:60]:
+        for at in range(1, len(word), 2):
+            words.add(word[: at - 1] + word[at] + word[at - 1] + word[at + 1 :])
+    words = sorted(words)
+    queries = spark.createDataFrame([(w,) for w in words] + [(None,), ("",), (words[0],)], "query string")
+    dictionary = spark.createDataFrame([(w, 1) for w in words] + [(None, 1), ("", 1)], "term string, n long")
+    found = fuzzy.fuzzy_candidates(queries, dictionary, limit).collect()
+    wanted = {(a, b): osa(a, b) for a in words for b in words if abs(len(a) - len(b)) <= limit and set(a) & set(b)}
+    wanted = {p: d for p, d in wanted.items() if d <= limit}
+    assert len(found) == len(wanted) and {(r.query, r.term): r.distance for r in found} == wanted
+
+
+def test_common_beginning_is_dealt_out(spark):
+    """A segment that all words share: no task of the join gets more than a small part of the pairs."""
+    words = ["prefix" + "".join(p) for p in product("abcdefghij", repeat=3)]
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        left = spark.createDataFrame([(w, 1) for w in words], "query string, segment long")
+        right = spark.createDataFrame([(w, 1) for w in words], "term string, segment long").hint("merge")
+        pairs = joins.grid_match(left, right, "segment", F.col("query"), F.col("term"))
+        sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == len(words) ** 2 and max(sizes) < len(words) ** 2 / 8
+
+
+def test_match_of_sides_without_a_common_key(spark):
+    left = spark.createDataFrame([("a", 1), ("b", None)], "query string, segment long")
+    right = spark.createDataFrame([("x", 2), ("y", None)], "term string, segment long")
+    assert joins.grid_match(left, right, "segment", F.col("query"), F.col("term")).count() == 0
+
+
+def test_fields_by_kind(spark):
+    rows = spark.sql("""select * from values (1L, 'b', true, 1.5d, 2.50, 7), (2L, null, null, null, null, null), (3L, 'a', false, 0d, 1.00, 1),
+                        (4L, 'b', true, 2d, 0.25, 1) as t(row_id, brand, flag, price, cost, size)""")
+    got = encode.select_fields(rows, ["brand", "size"]).orderBy("row_id").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1, 1.5, 2.5, 1), (2, None, None, None, None, None), (3, 0, 0, 0.0, 1.0, 0), (4, 1, 1, 2.0, 0.25, 0)]
+    with pytest.raises(ValueError):
+        encode.select_fields(rows, ["nothing"])
+    with pytest.raises(TypeError):
+        encode.select_fields(rows.withColumn("list", F.array(F.lit(1))))
+
+
 @pytest.mark.parametrize("order", ["o_totalprice", "o_orderpriority", "constant"])
 def test_global_rank_with_many_buckets(spark, sf_dir, order):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("constant", F.lit(1)).select("o_orderkey", order)
