@@ -70,6 +70,23 @@ def label_encode(spark, sf_dir):
     return E.label_encode(rows, "category_name")
 
 
+@CATALOG.query(
+    "select_fields",
+    with_listings(
+        """SELECT row_id, name, item_condition_id, price, (shipping = 1)::INTEGER AS shipped,
+                  CASE WHEN brand_name IS NOT NULL THEN b.code END AS brand_name,
+                  CASE WHEN category_name IS NOT NULL THEN c.code END AS category_name
+           FROM listings LEFT JOIN brands b USING (brand_name) LEFT JOIN categories c USING (category_name)""",
+        "brands AS (SELECT brand_name, row_number() OVER (ORDER BY brand_name) - 1 AS code FROM (SELECT DISTINCT brand_name FROM listings WHERE brand_name IS NOT NULL))",
+        "categories AS (SELECT category_name, row_number() OVER (ORDER BY category_name) - 1 AS code FROM (SELECT DISTINCT category_name FROM listings WHERE category_name IS NOT NULL))",
+    ),
+)
+def select_fields(spark, sf_dir):
+    rows = listings(spark, sf_dir, False).withColumn("shipped", F.col("shipping") == 1)
+    fields = rows.select("row_id", "name", "item_condition_id", "price", "shipped", "brand_name", "category_name")
+    return E.select_fields(fields, ["brand_name", "category_name"])
+
+
 @CATALOG.query(
     "encoded_sizes",
     with_listings(

@@ -41,13 +41,6 @@ def downcast(df: DataFrame) -> DataFrame:
     )
 
 
-def select_field(df: DataFrame, field: str, row_id: str = "row_id") -> DataFrame:
-    """The field as model input: text and numbers as they are, booleans as 0/1 (a categorical
-    text column is turned into codes by :func:`label_encode`)."""
-    is_flag = isinstance(df.schema[field].dataType, T.BooleanType)
-    return df.select(row_id, F.col(field).cast("int").alias(field) if is_flag else F.col(field))
-
-
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per non-null value (unordered; order on display)."""
     return key_counts(df, column)
@@ -114,6 +107,33 @@ def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None, row
     return lookup_join(df, table, column, F.col(row_id), weight="n", measure=True)
 
 
+def select_fields(df: DataFrame, categorical: Iterable[str] = (), row_id: str = "row_id") -> DataFrame:
+    """Every column as model input, by its kind: categorical ones become codes in sorted order
+    (:func:`label_codes`; null stays null), booleans 0 or 1, decimals doubles; texts and other numbers stay.
+    Columns of other types are an error."""
+    categorical = list(categorical)
+    if unknown := set(categorical) - set(df.columns):
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+
+    def plain(field: T.StructField) -> Column:
+        column, kind = F.col(field.name), field.dataType
+        if field.name in categorical or field.name == row_id or isinstance(kind, T.StringType):
+            return column
+        if isinstance(kind, T.BooleanType):
+            return column.cast("int").alias(field.name)
+        if isinstance(kind, T.DecimalType):
+            return column.cast("double").alias(field.name)
+        if isinstance(kind, T.NumericType):
+            return column
+        raise TypeError(f"{field.name}: no model input from {kind.simpleString()}")
+
+    chosen = df.select(*[plain(f) for f in df.schema.fields])
+    for name in categorical:
+        encoded = label_encode(chosen, name, label_codes(df, name), row_id)
+        chosen = encoded.withColumn(name, F.col(f"lb_{name}")).select(*df.columns)
+    return chosen
+
+
 def encoded_sizes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Largest code plus one per column: codes are dense, so that is the number of values."""
     values = [F.count_distinct(c).cast("bigint").alias(c) for c in columns]
