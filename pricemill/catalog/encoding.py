@@ -8,6 +8,7 @@ from pricemill.operators import encode as E
 from pricemill.operators.ranking import contiguous_folds, hashed_folds, rank_gauss, row_numbers
 from pricemill.functions.numeric import erfinv_sql
 from pricemill.plans.cleaning import clean_listings
+from pricemill.session import stage
 from pricemill.sources import listings
 
 
@@ -195,7 +196,7 @@ SEQUENCES = """sequences AS (
     ),
 )
 def text_to_sequence(spark, sf_dir):
-    cleaned = clean_listings(listings(spark, sf_dir))
+    cleaned = stage(clean_listings(listings(spark, sf_dir)).select("row_id", "split", "item_description"), "descriptions")
     sequences = E.text_to_sequence(cleaned, "item_description", _description_index(cleaned))
     return sequences.withColumn("seq_item_description", F.array_join("seq_item_description", ","))
 
@@ -211,7 +212,7 @@ def text_to_sequence(spark, sf_dir):
     ),
 )
 def pad_sequence(spark, sf_dir):
-    cleaned = clean_listings(listings(spark, sf_dir))
+    cleaned = stage(clean_listings(listings(spark, sf_dir)).select("row_id", "split", "item_description"), "descriptions")
     sequences = E.text_to_sequence(cleaned, "item_description", _description_index(cleaned))
     padded = E.pad_sequences(sequences, "seq_item_description", DESCRIPTION_LENGTH)
     return padded.withColumn("seq_item_description", F.array_join("seq_item_description", ","))

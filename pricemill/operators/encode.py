@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pricemill.constants import MISSING, VOCABULARY_SIZE
@@ -165,19 +169,37 @@ def vocabulary_size(df: DataFrame, column: str, size: int = VOCABULARY_SIZE) ->
     return words.agg(F.least(F.count(F.lit(1)) + 1, F.lit(size)).cast("bigint").alias("size"))
 
 
+def _numbered(vocabulary: Broadcast):
+    """Arrow batches ``(id, words)`` to ``(id, numbers)``; one look-up for all words of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, numbers = (pa.array(v, t) for v, t in zip(vocabulary.value, (pa.string(), pa.int32()), strict=True))
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            found = numbers.take(pc.index_in(flat.cast(pa.string()), value_set=words))
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            kept = np.concatenate(([0], np.cumsum(found.is_valid().to_numpy(zero_copy_only=False))))
+            offsets = pa.array(kept[np.concatenate(([0], ends)).astype(np.int64)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, found.drop_null())], names=batch.schema.names)
+
+    return run
+
+
 def text_to_sequence(
     df: DataFrame, column: str, index: DataFrame, row_id: str = "row_id", name: str | None = None
 ) -> DataFrame:
-    """``(row_id, sequence)``: word numbers in text order, unknown words left out.
+    """``(row_id, sequence)``: word numbers in text order, unknown words left out; a null text has none.
 
-    ``index`` is bounded by the vocabulary size (:func:`word_index`), so it may be broadcast. The
-    words of a row are in one task already; they are folded to number arrays before the shuffle.
+    ``index`` is bounded by the vocabulary size (:func:`word_index`), so it is sent to all tasks, and
+    no row leaves its task.
     """
     name = name or f"seq_{column}"
-    words = df.select(F.col(row_id), F.posexplode_outer(split_words(F.col(column))).alias("pos", "word"))
-    known = words.join(F.broadcast(index.select("word", "idx")), "word", "left")
-    placed = F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("pos", "idx"))))
-    return known.groupBy(row_id).agg(F.transform(placed, lambda e: e["idx"]).alias(name))
+    entries = index.select("word", F.col("idx").cast("int").alias("idx")).toArrow()  # at most a vocabulary
+    vocabulary = df.sparkSession.sparkContext.broadcast((entries["word"].to_pylist(), entries["idx"].to_pylist()))
+    words = df.select(F.col(row_id), F.coalesce(split_words(F.col(column)), F.array().cast("array<string>")).alias(name))
+    schema = T.StructType([words.schema[row_id], T.StructField(name, T.ArrayType(T.IntegerType()))])
+    return words.mapInArrow(_numbered(vocabulary), schema)
 
 
 def pad_sequences(df: DataFrame, column: str, length: int) -> DataFrame:

@@ -125,6 +125,26 @@ def test_fields_by_kind(spark):
         encode.select_fields(rows.withColumn("list", F.array(F.lit(1))))
 
 
+def test_sequences_against_a_dictionary(spark):
+    """Nulls, empty texts, texts without a known word, many batches; no exchange after the rows are read."""
+    texts = [None, "", "   ", "a B  a", "zz a", "zz", "b b", "é a"] * 40
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string").repartition(3)
+    index = spark.createDataFrame([("a", 1, 9), ("b", 2, 5), ("é", 3, 1)], "word string, idx int, n long")
+    numbers = {"a": 1, "b": 2, "é": 3}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = encode.text_to_sequence(rows, "t", index)
+        assert {r.row_id: r.seq_t for r in got.collect()} == {
+            i: [numbers[w] for w in (t or "").lower().split(" ") if w in numbers] for i, t in enumerate(texts)
+        }
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    read = encode.text_to_sequence(spark.range(5).selectExpr("id as row_id", "'a b' as t"), "t", index)
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    assert encode.text_to_sequence(rows, "t", index.limit(0)).where("size(seq_t) > 0").count() == 0
+
+
 @pytest.mark.parametrize("order", ["o_totalprice", "o_orderpriority", "constant"])
 def test_global_rank_with_many_buckets(spark, sf_dir, order):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("constant", F.lit(1)).select("o_orderkey", order)
