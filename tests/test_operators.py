@@ -145,10 +145,22 @@ def test_sequences_against_a_dictionary(spark):
     assert encode.text_to_sequence(rows, "t", index.limit(0)).where("size(seq_t) > 0").count() == 0
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Small tables keep all the shuffle partitions that are asked for."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "37"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield 37
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
 @pytest.mark.parametrize("order", ["o_totalprice", "o_orderpriority", "constant"])
-def test_global_rank_with_many_buckets(spark, sf_dir, order):
+def test_global_rank_over_many_partitions(spark, sf_dir, order, many_partitions):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("constant", F.lit(1)).select("o_orderkey", order)
-    ranked, n = ranking.global_rank(rows, [F.col(order)], "o_orderkey", bucket_rows=40)
+    ranked, n = ranking.global_rank(rows, [F.col(order)], "o_orderkey")
     right = F.row_number().over(Window.orderBy(order, "o_orderkey")) - 1
     assert ranked.count() == n == rows.count()
     assert ranked.withColumn("right", right).where("rank0 <> right").count() == 0
@@ -156,21 +168,27 @@ def test_global_rank_with_many_buckets(spark, sf_dir, order):
 
 def test_rank_with_nulls_and_few_rows(spark):
     rows = spark.createDataFrame([(1, None), (2, 5.0), (3, float("nan")), (4, -1.0)], "row_id long, v double")
-    for size in (1, 100):
-        ranked, _ = ranking.global_rank(rows, [F.col("v")], bucket_rows=size)
-        assert [r.row_id for r in ranked.orderBy("rank0").collect()] == [1, 4, 2, 3]
-
-
-def test_rank_deals_rows_into_buckets(spark, sf_dir):
-    """Also few rows with one value lie in several buckets, each numbered by itself."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").withColumn("v", F.lit(1))
-    ranked, n = ranking.global_rank(rows, [F.col("v")], "o_orderkey")
-    numbers = [r.rank0 for r in ranked.orderBy("o_orderkey").collect()]
-    assert numbers == list(range(n))
-    key = rows.withColumn("_key", F.struct(F.col("v").alias("k0"), F.col("o_orderkey").alias("k1")))
-    bounds = ranking._boundaries(key, n, ranking.MIN_BUCKETS)
-    buckets = key.select(ranking._bucket_of(F.col("_key"), bounds, key.schema["_key"].dataType.simpleString()))
-    assert buckets.distinct().count() == ranking.MIN_BUCKETS
+    ranked, _ = ranking.global_rank(rows, [F.col("v")])
+    assert [r.row_id for r in ranked.orderBy("rank0").collect()] == [1, 4, 2, 3]
+    none, n = ranking.global_rank(rows.limit(0), [F.col("v")])
+    assert n == 0 and none.count() == 0
+
+
+def test_rank_deals_equal_values_over_partitions(spark, sf_dir, many_partitions):
+    """Rows with one value lie in all partitions, none of which holds a large share; the input is read twice."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").mapInArrow(counted, "o_orderkey long")
+    ranked, n = ranking.global_rank(rows, [F.lit(1)], "o_orderkey")
+    assert [r.rank0 for r in ranked.orderBy("o_orderkey").collect()] == list(range(n))
+    sizes = [r["count"] for r in spark.read.parquet(*set(ranked.inputFiles())).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == many_partitions and max(sizes) < 4 * n / many_partitions
+    assert reads.value == 2 * n
 
 
 def test_rank_gauss_is_symmetric(spark):
