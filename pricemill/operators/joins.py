@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricemill.session import stage
@@ -14,6 +16,9 @@ HOT_SHARE = 1000
 BROADCAST_ROWS = 200_000
 BROADCAST_CHARACTERS = 20_000_000
 
+# A bit filter has 16 to 32 bits per key, between these powers of two; the larger is 128 KB.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 10, 20
+
 
 def key_counts(rows: DataFrame, key: str, name: str = "n") -> DataFrame:
     """Rows per non-null key."""
@@ -108,3 +113,31 @@ def grid_match(
 
     cell = [key, "_rows_at", "_columns_at"]
     return placed(left, left_spread, "_rows", "_columns").join(placed(right, right_spread, "_columns", "_rows"), cell).drop(*cell[1:])
+
+
+def bit_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A row-local test in front of a join: true for every value of ``key`` and for few others.
+
+    Each key sets two bits of a table whose size is bounded whatever the number of keys (it holds
+    words of 32 bits, which are fetched and sent with the tasks). With more keys than it has room for
+    it lets more through, and the join that follows decides as before. ``keys`` is read twice.
+    """
+    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (16 * keys.count()).bit_length()))
+
+    def places(value: Column) -> list[Column]:
+        hashed = F.xxhash64(value)
+        return [F.shiftrightunsigned(hashed, 64 - bits), hashed.bitwiseAND(F.lit((1 << bits) - 1))]
+
+    word, bit = lambda place: F.shiftright(place, 5).cast("int"), lambda place: place.bitwiseAND(F.lit(31)).cast("int")
+    place = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*places(F.col(key)))).alias("place"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col("place")))
+    words = [0] * (1 << bits - 5)
+    for row in place.groupBy(word(F.col("place")).alias("word")).agg(F.bit_or(one).alias("bits")).collect():
+        words[row["word"]] = row["bits"]
+    table = F.from_json(F.lit(str(words)), "array<bigint>")
+
+    def test(value: Column) -> Column:
+        one, two = [F.call_function("shiftright", F.get(table, word(p)), bit(p)).bitwiseAND(F.lit(1)) == 1 for p in places(value)]
+        return one & two
+
+    return test

@@ -5,6 +5,7 @@ import random
 import statistics
 from itertools import product
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
@@ -289,6 +290,48 @@ def test_cascade_order(spark):
     assert got == {1: "nike", 2: "nike", 3: "air max", 4: "air max", 5: "puma", 6: "puma", 7: "", 8: "air max", 9: "puma"}
 
 
+def test_cascade_against_brute_force_and_one_reading_of_the_texts(spark):
+    picks = random.Random(5)
+    words = ["air", "max", "nike", "puma", "one", "é", "x2", "plain"]
+    text = lambda: picks.choice([None, "", " ".join(picks.choices(words, k=picks.randint(1, 6))), "air\tmax " + picks.choice(words)])
+    brand = lambda: picks.choice(["", "", "", None, "nike", "puma", "air max", "x2 one"])
+    rows = [(i, text(), text(), brand()) for i in range(600)]
+    known = {b for *_, b in rows if b}
+
+    def right(name, description, brand):
+        if brand != "":
+            return brand
+        texts = [(t or "").replace("\t", " \t ").split(" ") for t in (name, description)]
+        pairs = [" ".join(t[:2]) for t in texts]
+        return next((t for t in pairs if " " in t and t in known), None) or next(
+            (w for t in texts for w in t if w in known), "")
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def cleaned(names: pd.Series) -> pd.Series:
+        reads.add(len(names))
+        return names
+
+    table = spark.createDataFrame(rows, "row_id long, name string, item_description string, brand_name string")
+    got = brands.impute_brand_cascade(table.withColumn("name", cleaned("name")))
+    assert got.columns == table.columns
+    filled = {r.row_id: (r.name, r.item_description, r.brand_name) for r in got.collect()}
+    assert filled == {i: (n, d, right(n, d, b)) for i, n, d, b in rows}
+    assert reads.value == len(rows)
+
+
+def test_bit_filter_passes_all_keys_and_few_others(spark):
+    keys = spark.range(0, 40_000, 2).select(F.col("id").cast("string").alias("k")).unionByName(
+        spark.createDataFrame([(None,)], "k string"))
+    test = joins.bit_filter(keys, "k")
+    passed = spark.range(40_000).where(test(F.col("id").cast("string"))).groupBy((F.col("id") % 2).alias("odd")).count()
+    found = {r.odd: r["count"] for r in passed.collect()}
+    assert found[0] == 20_000 and found.get(1, 0) < 800
+    none = joins.bit_filter(keys.limit(0), "k")
+    assert spark.range(10).where(none(F.col("id").cast("string"))).count() == 0
+
+
 def test_document_frequency_filters(spark):
     table = spark.createDataFrame(
         [(1, "train", "a", 1.0), (2, "train", "a", 1.0), (3, "test", "a", 1.0), (1, "train", "b", 1.0), (3, "test", "c", 1.0)],
