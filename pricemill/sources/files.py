@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from pricemill.sources.multiline import read_multiline
+
 RAW_FIELDS = [
     T.StructField("name", T.StringType()),
     T.StructField("item_condition_id", T.IntegerType()),
@@ -27,19 +29,13 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, multili
     """Tab-separated UTF-8 text with a header row and declared types (no inference pass).
 
     A field may be quoted, and a quote inside it is doubled. With ``multiline`` quoted fields may hold line
-    breaks; then a file is one task's work, so it is off unless asked for.
+    breaks; a file is still read by many tasks (:mod:`pricemill.sources.multiline`), at the price of two more
+    passes and a shuffle of the lines, so it is off unless asked for.
     """
-    return (
-        spark.read.schema(schema)
-        .option("sep", "\t")
-        .option("header", True)
-        .option("encoding", "UTF-8")
-        .option("enforceSchema", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    options = {"sep": "\t", "quote": '"', "escape": '"'}
+    if multiline:
+        return read_multiline(spark, path, schema, options)
+    return spark.read.schema(schema).options(header=True, encoding="UTF-8", enforceSchema=False, **options).csv(path)
 
 
 def with_row_id(rows: DataFrame, id_column: str, split: str) -> DataFrame:

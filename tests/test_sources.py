@@ -1,5 +1,7 @@
 """Readers, writers and streaming acceptance."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -50,6 +52,52 @@ def test_both_splits_keep_apart_through_the_pipeline(spark, tmp_path):
     assert sequences.count() == 5 and sequences.select("row_id").distinct().count() == 5
 
 
+FIELDS = [
+    "plain", "", '""', '"a ""b"" c"', '"two\nlines"', '"\n"', '"""\n"""', '5" pipe', 'x"', '"tab\there"', '"tab\t\n""\tend"',
+    '"many\n\n\n\nlines ' + "of text " * 30 + '\n"', "é½", '"é\n½"', ' "not quoted"',
+]
+
+
+def hostile_file(seed, rows):
+    picks = random.Random(seed)
+    head = "id\tname\tprice\ttext\n"
+    lines = [f"{i}\t{picks.choice(FIELDS)}\t{picks.choice(['1.5', '', '2'])}\t{picks.choice(FIELDS)}\n" for i in range(rows)]
+    return head + "".join(line + picks.choice(["", "", "", "\n"]) for line in lines)
+
+
+@pytest.mark.parametrize("block_bytes", [200, 1000, 1 << 27])
+def test_line_breaks_in_quotes_over_many_tasks(spark, tmp_path, block_bytes):
+    """One file over many tasks gives what the built-in reader gives in one task."""
+    schema = T.StructType.fromDDL("id bigint, name string, price double, text string")
+    for number in range(2):
+        (tmp_path / f"{number}.tsv").write_text(hostile_file(number, 150), "utf-8")
+    one_task = spark.read.schema(schema).options(
+        sep="\t", header=True, quote='"', escape='"', multiLine=True, lineSep="\n").csv(str(tmp_path))
+    setting, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(setting, str(block_bytes))
+    try:
+        got = sources.read_delimited(spark, str(tmp_path), schema, multiline=True)
+        assert got.schema == schema
+        rows = sorted(map(str, got.collect()))
+        if block_bytes < 1000:
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set(setting, before)
+    assert len(rows) == 300 and rows == sorted(map(str, one_task.collect()))
+
+
+def test_multiline_headers_and_empty_files(spark, tmp_path):
+    schema = T.StructType.fromDDL("id bigint, name string")
+    (tmp_path / "a.tsv").write_text("id\tname\r\n", "utf-8")
+    (tmp_path / "b.tsv").write_text("", "utf-8")
+    assert sources.read_delimited(spark, str(tmp_path), schema, multiline=True).count() == 0
+    (tmp_path / "c.tsv").write_text('id\tname\r\n7\t"x\ny"\r\n', "utf-8")
+    assert [tuple(r) for r in sources.read_delimited(spark, str(tmp_path), schema, multiline=True).collect()] == [(7, "x\ny")]
+    (tmp_path / "d.tsv").write_text("id\tother\n", "utf-8")
+    with pytest.raises(ValueError, match="other"):
+        sources.read_delimited(spark, str(tmp_path), schema, multiline=True)
+
+
 def test_dictionary_from_text(spark, tmp_path):
     (tmp_path / "words.txt").write_text("The cat, the CAT and it's hat\n", "utf-8")
     assert {tuple(r) for r in sources.read_terms(spark, str(tmp_path)).collect()} == {
