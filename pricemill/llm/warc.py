@@ -2,13 +2,15 @@
 
 An archive begins with a skippable frame that holds the dictionary; after it comes one frame per
 record, all compressed with that dictionary. The reader loads the dictionary, decodes one frame
-after the other and checks headers, lengths and digests of each record. Files are reached through
-Arrow's file systems by URI, so tasks read and write them wherever the work folder is.
+after the other and checks headers, lengths and digests of each record. Archives of others are read
+too: without a dictionary, with records of any type, folded headers, ids of any form. Files are reached
+through Arrow's file systems by URI, so tasks read and write them wherever the work folder is.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import io
 import re
@@ -22,6 +24,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from pricemill.operators.joins import lookup_join
 from pricemill.session import stage, work_folder
 
 # Fixed values of the format: the magic number of the skippable frame with the dictionary, and of frames.
@@ -37,9 +40,10 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES, TRAINING_RECORDS, TRAINING_BYTES = 16 << 10, 200, 2 << 20
 
+# ``page_id`` and ``refers_to`` are the numbers of this writer's pages; they are null for other ids.
 RECORD = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
-    "payload_digest string, payload binary"
+    "payload_digest string, payload binary, record_id string, refers_to_id string"
 )
 
 
@@ -47,12 +51,17 @@ class ArchiveError(ValueError):
     """An archive that is cut off, or whose headers, lengths or digests are wrong."""
 
 
-def record_uri(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=page_id % (1 << 64))}>"
+def record_uri(page_id: int | None, *rest: str | None) -> str:
+    """A page's number is the lower half of its UUID; rows without one get a UUID made from ``rest``, which is larger."""
+    made = uuid.uuid5(uuid.NAMESPACE_URL, repr(rest)) if page_id is None else uuid.UUID(int=page_id % (1 << 64))
+    return f"<urn:uuid:{made}>"
 
 
-def _page_of(uri: str) -> int:
-    value = uuid.UUID(uri[10:-1]).int
+def _page_of(uri: str | None) -> int | None:
+    digits = re.fullmatch("<?urn:uuid:([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})>?", uri or "")
+    value = uuid.UUID(digits[1]).int if digits else 1 << 64
+    if value >= 1 << 64:
+        return None
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
@@ -61,13 +70,13 @@ def _safe(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m.group()):02X}", value)
 
 
-def encode_record(page_id: int, url: str | None, kind: str, refers_to: int | None, digest: str, size: int, payload: bytes | None) -> bytes:
+def encode_record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, size: int, payload: bytes | None) -> bytes:
     """The bytes of one record; a revisit carries the HTTP head alone, which still tells the payload's length."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + (payload or b"")
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record_uri(page_id)),
+        ("WARC-Record-ID", record_uri(page_id, url, digest)),
         ("WARC-Date", DATE),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
         ("Content-Type", "application/http; msgtype=response"),
@@ -80,51 +89,108 @@ def encode_record(page_id: int, url: str | None, kind: str, refers_to: int | Non
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _fields(head: bytes) -> dict[str, str]:
-    fields = {}
-    for line in head.decode().split("\r\n"):
+def _text(raw: bytes) -> str:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def _fields(head: bytes, once: bool = True) -> dict[str, str]:
+    """Header names in lower case with their values; a line that begins with a space continues the one before.
+
+    A name may come again only if ``once`` is not asked for, as in HTTP heads; then the first counts.
+    """
+    fields, name = {}, None
+    for line in _text(head).split("\r\n"):
+        if line[:1] in (" ", "\t") and name:
+            fields[name] = f"{fields[name]} {line.strip(' \t')}".strip(" ")
+            continue
         name, colon, value = line.partition(":")
+        name = name.rstrip(" \t").lower()
         if not colon or not name:
-            raise ArchiveError(f"not a header: {line[:80]!r}")
-        if name.lower() in fields:
+            if once:
+                raise ArchiveError(f"not a header: {line[:80]!r}")
+            name = ""
+        elif name not in fields:
+            fields[name] = value.strip(" \t")
+        elif once and name != "warc-concurrent-to":  # the one field that the standard lets come again
             raise ArchiveError(f"header twice: {name}")
-        fields[name.lower()] = value.strip(" \t")
+        else:
+            name = ""
     return fields
 
 
+def _digest(labelled: str | None) -> tuple[str, str]:
+    """Algorithm and lower-case hex digits of ``sha1:...``, in base 32 or hex."""
+    algorithm, _, digits = (labelled or "").partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm not in ("sha1", "sha256", "md5"):
+        return algorithm, ""
+    size = hashlib.new(algorithm, usedforsecurity=False).digest_size
+    if len(digits) == 2 * size:
+        return algorithm, digits.lower()
+    try:
+        return algorithm, base64.b32decode(digits.upper() + "=" * (-len(digits) % 8)).hex()
+    except binascii.Error as error:
+        raise ArchiveError(f"not a digest: {labelled}") from error
+
+
+def _check(name: str, data: bytes, labelled: str | None) -> None:
+    algorithm, wanted = _digest(labelled)
+    if wanted and hashlib.new(algorithm, data, usedforsecurity=False).hexdigest() != wanted:
+        raise ArchiveError(f"{name} does not fit its digest")
+
+
 def decode_record(record: bytes) -> tuple:
-    """Check a record and give it as a row of :data:`RECORD`."""
-    if not record.startswith(VERSION):
+    """Check a record and give it as a row of :data:`RECORD`.
+
+    The payload of a response is what follows the HTTP head, that of other types the whole block; a
+    revisit has none, and its length and digest are those it tells of. Lengths and digests are checked
+    where they are given; a payload that was cut or is coded for transfer need not fit those of HTTP.
+    """
+    version = re.match(rb"WARC/[0-9]+\.[0-9]+\r\n", record)
+    if not version:
         raise ArchiveError("no version line")
-    end = record.find(b"\r\n\r\n")
+    end = record.find(b"\r\n\r\n", version.end() - 2)
     if end < 0:
         raise ArchiveError("headers without an end")
-    fields = _fields(record[len(VERSION) : end])
-    for name in ("warc-type", "warc-record-id", "warc-date", "warc-payload-digest", "content-length"):
+    fields = _fields(record[version.end() : end])
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise ArchiveError(f"no {name}")
     block = record[end + 4 : -4]
-    if record[-4:] != b"\r\n\r\n" or not fields["content-length"].isdigit() or int(fields["content-length"]) != len(block):
-        raise ArchiveError(f"block of {len(block)} bytes, not of {fields['content-length']}")
-    at = block.find(b"\r\n\r\n")
-    status, _, http = block[:at].partition(b"\r\n")
-    if at < 0 or not status.startswith(b"HTTP/"):
-        raise ArchiveError("no HTTP head")
-    length = _fields(http).get("content-length", "")
-    algorithm, _, digest = fields["warc-payload-digest"].partition(":")
-    if algorithm != "sha1" or not length.isdigit():
-        raise ArchiveError("no payload digest or length")
-    digest = base64.b32decode(digest).hex()
-    page, kind, payload = _page_of(fields["warc-record-id"]), fields["warc-type"], block[at + 4 :]
+    size = fields["content-length"]
+    if record[-4:] != b"\r\n\r\n" or not re.fullmatch("[0-9]+", size) or int(size) != len(block):
+        raise ArchiveError(f"block of {len(block)} bytes, not of {size}")
+    _check("block", block, fields.get("warc-block-digest"))
+    kind, told = fields["warc-type"].lower(), fields.get("warc-payload-digest")
+    payload, length, coded = block, "", "warc-truncated" in fields
+    if kind in ("response", "revisit") and fields.get("content-type", "").lower().startswith("application/http") and (block or kind == "response"):
+        at = block.find(b"\r\n\r\n")
+        status, _, http = block[:at].partition(b"\r\n")
+        if at < 0 or not status.startswith(b"HTTP/"):
+            raise ArchiveError("no HTTP head")
+        heads = _fields(http, once=False)
+        payload, length = block[at + 4 :], heads.get("content-length", "")
+        length = length if re.fullmatch("[0-9]{1,18}", length) else ""
+        coded = coded or "transfer-encoding" in heads
+        if length and not coded and kind == "response" and "content-encoding" not in heads and int(length) != len(payload):
+            raise ArchiveError(f"payload of {len(payload)} bytes, not of {length}")
+    page, uri = _page_of(fields["warc-record-id"]), fields.get("warc-target-uri")
+    target = fields.get("warc-refers-to")
     if kind == "revisit":
-        if payload or fields.get("warc-profile") != REVISIT_PROFILE or "warc-refers-to" not in fields:
+        if "warc-profile" not in fields or payload and fields["warc-profile"] == REVISIT_PROFILE:
             raise ArchiveError("not a revisit of an equal payload")
-        return page, fields.get("warc-target-uri"), kind, _page_of(fields["warc-refers-to"]), int(length), digest, None
-    if kind != "response":
-        raise ArchiveError(f"record of type {kind}")
-    if int(length) != len(payload) or hashlib.sha1(payload).hexdigest() != digest:
-        raise ArchiveError("payload does not fit its length or digest")
-    return page, fields.get("warc-target-uri"), kind, None, int(length), digest, payload
+        algorithm, digest = _digest(told)
+        return (
+            page, uri, kind, _page_of(target), int(length) if length else None, digest if algorithm == "sha1" and digest else None,
+            None, fields["warc-record-id"], target,
+        )
+    if not coded:
+        _check("payload", payload, told)
+    made = hashlib.sha1(payload, usedforsecurity=False).hexdigest()
+    return page, uri, kind, _page_of(target), len(payload), made, payload, fields["warc-record-id"], target
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -153,16 +219,19 @@ def write_archive(stream, first: list[bytes], rest: Iterator[bytes]) -> int:
 def read_archive(stream) -> Iterator[tuple]:
     """The checked records of an archive, one frame at a time."""
     head = stream.read(8)
-    if len(head) < 8 or struct.unpack("<I", head[:4])[0] != DICTIONARY_MAGIC:
-        raise ArchiveError("no dictionary frame at the beginning")
-    size = struct.unpack("<I", head[4:])[0]
-    dictionary = stream.read(size)
-    if len(dictionary) != size:
-        raise ArchiveError("dictionary cut off")
-    if dictionary[:4] == struct.pack("<I", FRAME_MAGIC):
-        dictionary = zstandard.ZstdDecompressor().decompressobj().decompress(dictionary)
-    decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-    rest = b""
+    magic = struct.unpack("<I", head[:4])[0] if len(head) == 8 else None
+    if magic == FRAME_MAGIC:  # an archive without a dictionary begins with its first record
+        rest, decompressor = head, zstandard.ZstdDecompressor()
+    elif magic == DICTIONARY_MAGIC:
+        size = struct.unpack("<I", head[4:])[0]
+        dictionary = stream.read(size)
+        if len(dictionary) != size:
+            raise ArchiveError("dictionary cut off")
+        if dictionary[:4] == struct.pack("<I", FRAME_MAGIC):
+            dictionary = zstandard.ZstdDecompressor().decompressobj().decompress(dictionary)
+        rest, decompressor = b"", zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+    else:
+        raise ArchiveError("no dictionary frame or record at the beginning")
     while True:
         rest = rest or stream.read(1 << 20)
         if not rest:
@@ -189,8 +258,8 @@ def _open(uri: str, write: bool = False):
     system, path = fs.FileSystem.from_uri(uri)
     if write:
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        return system.open_output_stream(path)
-    return system.open_input_stream(path)
+        return system.open_output_stream(path, compression=None)  # not a second time, for the file's ending
+    return system.open_input_stream(path, compression=None)
 
 
 def _uri(folder: str) -> str:
@@ -231,8 +300,8 @@ def _write(folder: str, archive_bytes: int):
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "record_id", "refers_to_id"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -249,7 +318,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if size > 4 << 20 or len(rows) >= 1000:
                         yield emit(rows)
                         rows, size = [], 0
-            if n != wanted:
+            if wanted is not None and n != wanted:
                 raise ArchiveError(f"{uri}: {n} records, not {wanted}")
             if rows:
                 yield emit(rows)
@@ -261,37 +330,43 @@ def write_archives(
 ) -> DataFrame:
     """Write a record per row and give the table of files, (archive, records).
 
-    A null html is an empty payload. Of equal payloads of at least ``revisit_bytes`` bytes the row
-    with the largest id is the response, all others revisit it. Ids must be unique and not null.
+    A null html is an empty payload. Of equal payloads of at least ``revisit_bytes`` bytes the rows
+    with the largest id are responses, all others revisit it. A row without an id is a response. Rows
+    with the same id are all written. A payload that more than 1/1000 of the large repeated ones
+    equal is decided without a shuffle by its digest, as are small payloads: their rows are dealt out.
     """
     spark = pages.sparkSession
     folder = _uri(folder or f"{work_folder(spark)}/warc-{uuid.uuid4().hex}")
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
-    large = rows.where(F.col("size") >= revisit_bytes).groupBy("digest", "size")
-    first = large.agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = F.col("response") > F.col("page_id")
-    joined = rows.join(first, ["digest", "size"], "left").select(
+    rows = rows.withColumn("same", F.when((F.col("size") >= revisit_bytes) & F.col("page_id").isNotNull(), F.concat_ws(":", "digest", "size")))
+    groups = rows.where("same IS NOT NULL").groupBy("same").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
+    first = stage(groups.where("n > 1"), "responses")
+    revisits = F.coalesce(F.col("response") > F.col("page_id"), F.lit(False))
+    joined = lookup_join(rows, first, "same", F.xxhash64("page_id", "url"), weight="n").select(
         "page_id", "url", F.when(revisits, "revisit").otherwise("response"), F.when(revisits, F.col("response")),
-        "digest", "size", F.when(~F.coalesce(revisits, F.lit(False)), F.col("payload")),
+        "digest", "size", F.when(~revisits, F.col("payload")),
     )
     return stage(joined.mapInArrow(_write(folder, archive_bytes), "archive string, records bigint"), "archives")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, closed: bool = True) -> DataFrame:
     """The records (:data:`RECORD`) of a table of files; a file is one task's work.
 
-    A revisit has no payload of its own. It must refer to a response of the same digest and length
-    in one of the files; else the job fails, as it does for any broken archive.
+    Where the number of records of a file is null, it is not checked. A revisit has no payload of its
+    own. In a ``closed`` set of files each that names a page must name a response of the same digest
+    and length in one of them; else the job fails, as it does for any broken archive. Only the
+    different references take part in that check, so neither payloads nor a popular page meet in a task.
     """
     files = max(1, archives.count())
     dealt = archives.select("archive", "records").repartition(min(files, 10_000), "archive")
     records = stage(dealt.mapInArrow(_read, RECORD), "records")
-    target = records.where("record_type = 'response'").select(
-        F.col("page_id").alias("_llm_page"), F.struct("payload_digest", "payload_bytes").alias("_llm_found")
-    )
-    joined = records.join(target, F.col("refers_to") == F.col("_llm_page"), "left")
-    wrong = (F.col("record_type") == "revisit") & ~F.struct("payload_digest", "payload_bytes").eqNullSafe(F.col("_llm_found"))
-    checked = F.when(wrong, F.raise_error(F.lit("a revisit refers to no equal payload"))).otherwise(F.col("record_type"))
-    return joined.withColumn("record_type", checked).drop("_llm_page", "_llm_found")
+    if closed:
+        keys = ["page", "payload_digest", "payload_bytes"]
+        named = records.where("record_type = 'revisit' AND refers_to IS NOT NULL").withColumnRenamed("refers_to", "page")
+        there = records.where("record_type = 'response'").withColumnRenamed("page_id", "page")
+        missing = named.select(*keys).distinct().join(there.select(*keys), keys, "left_anti").first()
+        if missing is not None:
+            raise ArchiveError(f"a revisit refers to no equal payload: {missing}")
+    return records

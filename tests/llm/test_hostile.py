@@ -5,7 +5,7 @@ from hostile import ROWS, empty, hostile
 from public_tokenizers import PATTERN, path
 
 from pricemill.llm import (
-    decontaminate, line_dedup, near_dedup, packing, pseudonyms, quality_rules, secret_scan, sharding, toxicity,
+    decontaminate, line_dedup, near_dedup, packing, pseudonyms, quality_rules, secret_scan, sharding, toxicity, warc,
 )
 
 
@@ -28,9 +28,10 @@ OPERATORS = {
     "drop_contaminated": lambda s, d: decontaminate.drop_contaminated(d, items(s)),
     "pseudonyms": lambda s, d: pseudonyms.pseudonymize_texts(d, b"k"),
     "secrets": lambda s, d: secret_scan.find_secrets(d),
+    "warc": lambda s, d: warc.read_archives(warc.write_archives(d, "doc_id", "source", "text")).withColumnRenamed("page_id", "doc_id"),
     "sharding": lambda s, d: sharding.shard_by_bytes(d, shards=3),
 }
-ROW_FOR_ROW = {"toxicity", "near_duplicates", "line_dedup", "quality", "pseudonyms", "secrets", "sharding"}
+ROW_FOR_ROW = {"toxicity", "near_duplicates", "line_dedup", "quality", "pseudonyms", "secrets", "sharding", "warc"}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
