@@ -3,16 +3,17 @@
 A line's key is the MD5 of the stripped, lower-cased line. The exact tables say which documents hold
 a key (``holders``) and how many do (``counts``). In front of them stands one cuckoo filter per
 shard of keys: a batch of new documents asks the filters first, and only keys that a filter may know
-are looked up and merged in the exact table; all others are new for certain and are appended.
+are looked up and merged with their exact counts; all others are new for certain and are appended.
 Deleting documents lowers the counts; keys that nobody holds any more are removed from the filters,
-which cuckoo filters allow and Bloom filters do not.
+which cuckoo filters allow and Bloom filters do not. No table is written again: a change appends the
+rows of the keys it touches under its own number, and of a key's rows the last one counts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -102,12 +103,34 @@ class CuckooFilter:
 
 @dataclass
 class LineIndex:
-    """``holders`` (shard, key, doc_id), ``counts`` (shard, key, refs, first_doc), ``filters`` (shard, buckets, slots)."""
+    """``holders`` (shard, key, doc_id, version), ``counts`` (shard, key, refs, first_doc, version), ``filters``
+    (shard, buckets, slots), ``deleted`` (doc_id, version) or None, and the number of changes so far."""
 
     holders: DataFrame
     counts: DataFrame
     filters: DataFrame
     shards: int
+    deleted: DataFrame | None = None
+    version: int = 0
+
+    def live_holders(self) -> DataFrame:
+        """(shard, key, doc_id) of documents that were not deleted after they came in."""
+        if self.deleted is None:
+            return self.holders.drop("version")
+        gone = self.deleted.select(F.col("doc_id").alias("_gone"), F.col("version").alias("_at"))
+        later = (F.col("doc_id") == F.col("_gone")) & (F.col("version") < F.col("_at"))
+        return self.holders.join(gone, later, "left_anti").drop("version")
+
+    def live_counts(self, least: int = 1) -> DataFrame:
+        """(shard, key, refs, first_doc) of keys that at least ``least`` documents hold."""
+        enough = F.col("refs") >= least
+        rows = self.counts
+        if self.deleted is None:  # counts have only grown, so a key's last row is its largest
+            rows = rows.where(enough)
+        if self.version > 1:
+            last = F.max_by(F.struct("refs", "first_doc"), "version").alias("_last")
+            rows = rows.groupBy("shard", "key").agg(last).select("shard", "key", "_last.*")
+        return rows.where(enough).select("shard", "key", "refs", "first_doc")
 
 
 def _halves(keys: pd.Series) -> np.ndarray:
@@ -141,8 +164,8 @@ def empty_index(spark: SparkSession, shards: int) -> LineIndex:
     """An index without documents."""
     make = lambda schema: spark.createDataFrame([], schema)
     return LineIndex(
-        make("shard int, key binary, doc_id bigint"),
-        make("shard int, key binary, refs bigint, first_doc bigint"),
+        make("shard int, key binary, doc_id bigint, version int"),
+        make("shard int, key binary, refs bigint, first_doc bigint, version int"),
         make(FILTER_ROW), shards,
     )
 
@@ -188,50 +211,70 @@ def _per_shard(left: DataFrame, filters: DataFrame, function, schema: str) -> Da
     return left.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(function, schema)
 
 
+def ask(index: LineIndex, holders: DataFrame) -> DataFrame:
+    """(shard, key, refs, first_doc, known) of a batch's (shard, key, doc_id): the keys that a filter may know are marked."""
+    return _per_shard(_counted(holders), index.filters, _ask, KEY_ROW)
+
+
 def insert(index: LineIndex, holders: DataFrame) -> LineIndex:
     """Add the (doc_id, key) rows of new documents, as :func:`line_keys` gives them.
 
-    Documents must not be in the index yet. Of a batch's keys, those the filters may know are merged
+    Documents must not be in the index. Of a batch's keys, those the filters may know are merged
     with their exact counts; the others are appended without looking anything up.
     """
-    spark = holders.sparkSession
-    batch_holders = stage(holders.select(_shard(index.shards), "key", "doc_id").distinct(), "line-holders")
-    asked = stage(_per_shard(_counted(batch_holders), index.filters, _ask, KEY_ROW), "line-batch")
-    known = asked.where("known").select("shard", "key", F.col("refs").alias("more"), F.col("first_doc").alias("other"))
-    merged = index.counts.join(known, ["shard", "key"], "left").select(
-        "shard", "key", (F.col("refs") + F.coalesce("more", F.lit(0))).alias("refs"),
-        F.least("first_doc", "other").alias("first_doc"),
+    version = index.version + 1
+    numbered = lambda rows: rows.withColumn("version", F.lit(version))
+    batch = stage(numbered(holders.select(_shard(index.shards), "key", "doc_id").distinct()), "line-holders")
+    asked = stage(ask(index, batch.drop("version")), "line-batch")
+    before = index.live_counts().withColumnsRenamed({"refs": "old_refs", "first_doc": "old_first"})
+    known = asked.where("known").join(before, ["shard", "key"], "left").select(
+        "shard", "key", (F.col("refs") + F.coalesce("old_refs", F.lit(0))).alias("refs"),
+        F.least("first_doc", "old_first").alias("first_doc"), F.col("old_refs").isNull().alias("mistaken"),
     )
+    known = stage(known, "line-known")
+    new = asked.where("not known").select("shard", "key", "refs", "first_doc")
+    counts = index.counts.unionByName(numbered(new.unionByName(known.drop("mistaken"))))
     # the filter errs for a few keys: it may know them, but the exact table does not
-    mistaken = known.join(index.counts, ["shard", "key"], "left_anti").select("shard", "key", F.col("more").alias("refs"), F.col("other").alias("first_doc"))
-    new = asked.where("not known").select("shard", "key", "refs", "first_doc").unionByName(mistaken)
-    counts = stage(merged.unionByName(new), "line-counts")
-    filters = stage(_per_shard(new.select("shard", "key"), index.filters, _enter, FILTER_ROW), "line-filters")
+    entering = new.select("shard", "key").unionByName(known.where("mistaken").select("shard", "key"))
+    filters = stage(_per_shard(entering, index.filters, _enter, FILTER_ROW), "line-filters")
+    grown = LineIndex(index.holders.unionByName(batch), counts, filters, index.shards, index.deleted, version)
     full = filters.where("slots is null").select("shard")
-    rebuilt = counts.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build, FILTER_ROW)
-    return LineIndex(
-        index.holders.unionByName(batch_holders), counts,
-        filters.where("slots is not null").unionByName(rebuilt), index.shards,
-    )
+    rebuilt = grown.live_counts().join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build, FILTER_ROW)
+    return replace(grown, filters=filters.where("slots is not null").unionByName(rebuilt))
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
-    """Take documents (a column ``doc_id``) out again; unknown ids change nothing."""
-    ids = doc_ids.select(F.col("doc_id").cast("bigint")).distinct()
-    holders = stage(index.holders.join(ids, "doc_id", "left_anti").select("shard", "key", "doc_id"), "line-holders")
-    touched = index.holders.join(ids, "doc_id", "left_semi").select("shard", "key").distinct()
-    again = _counted(holders.join(touched, ["shard", "key"], "left_semi"))
-    counts = stage(index.counts.join(touched, ["shard", "key"], "left_anti").unionByName(again), "line-counts")
-    gone = touched.join(again, ["shard", "key"], "left_anti")
+    """Take documents (a column ``doc_id``) out again; unknown ids change nothing.
+
+    Only the keys that these documents held are counted again. Documents may be inserted anew later.
+    """
+    version = index.version + 1
+    numbered = lambda rows: rows.withColumn("version", F.lit(version))
+    ids = stage(numbered(doc_ids.select(F.col("doc_id").cast("bigint")).distinct()), "line-deleted")
+    touched = stage(index.live_holders().join(ids, "doc_id", "left_semi").select("shard", "key").distinct(), "line-touched")
+    deleted = ids if index.deleted is None else index.deleted.unionByName(ids)
+    less = replace(index, deleted=deleted, version=version)
+    left = _counted(less.live_holders().join(touched, ["shard", "key"], "left_semi"))
+    again = touched.join(left, ["shard", "key"], "left").select("shard", "key", F.coalesce("refs", F.lit(0)).alias("refs"), "first_doc")
+    again = stage(numbered(again), "line-counts")
+    gone = again.where("refs = 0").select("shard", "key")
     filters = stage(_per_shard(gone, index.filters, _leave, FILTER_ROW), "line-filters")
-    return LineIndex(holders, counts, filters, index.shards)
+    return replace(less, counts=index.counts.unionByName(again), filters=filters)
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> LineIndex:
-    """An index of all ``docs``, with as many shards as their lines need."""
+def build_index(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, batches: int = 1
+) -> LineIndex:
+    """An index of all ``docs``, with as many shards as their lines need, inserted in ``batches`` parts.
+
+    A document's id decides its part. From the second part on, filters keep most keys away from the exact counts.
+    """
     holders = stage(line_keys(docs, key, text, min_chars), "line-keys")
-    shards = max(MIN_SHARDS, -(-holders.count() // SHARD_KEYS))
-    return insert(empty_index(docs.sparkSession, shards), holders)
+    index = empty_index(docs.sparkSession, max(MIN_SHARDS, -(-holders.count() // SHARD_KEYS)))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(batches)), F.lit(batches))
+    for number in range(batches):
+        index = insert(index, holders.where(part == number) if batches > 1 else holders)
+    return index
 
 
 def _without(text_at: int, drops_at: int, min_chars: int):
@@ -270,9 +313,9 @@ def drop_repeated_lines(
     loses all lines gets an empty text.
     """
     docs = free(docs, "kept_text", "n_lines", "n_dropped")
-    repeated = index.counts.where("refs >= 2").select("shard", "key", "first_doc")
+    repeated = index.live_counts(least=2).select("shard", "key", "first_doc")
     drops = (
-        index.holders.join(repeated, ["shard", "key"]).where("doc_id <> first_doc")
+        index.live_holders().join(repeated, ["shard", "key"]).where("doc_id <> first_doc")
         .groupBy(F.col("doc_id").alias("_llm_doc")).agg(F.collect_set("key").alias("_llm_drops"))
     )
     joined = docs.join(drops, F.col(key).cast("bigint") == F.col("_llm_doc"), "left").drop("_llm_doc")

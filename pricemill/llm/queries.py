@@ -97,7 +97,7 @@ FROM judged GROUP BY doc_id
 @LLM.query("op4_line_dedup", OP4_SQL)
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    kept = drop_repeated_lines(docs, build_index(docs))
+    kept = drop_repeated_lines(docs, build_index(docs, batches=2))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
