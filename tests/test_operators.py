@@ -367,3 +367,11 @@ def test_weighted_blend_stays_between_models(spark, values):
     predictions = spark.createDataFrame(rows, "row_id long, model string, pred double")
     blend = evaluate.weighted_blend(predictions, {f"m{i}": i + 1.0 for i in range(len(values))}).first().pred
     assert min(values) - 1e-9 <= blend <= max(values) + 1e-9
+
+
+def test_word_index_hashes_words_and_breaks_ties_by_first_appearance(spark):
+    rows = spark.createDataFrame([(-3, "d c"), (2**40, "a b"), (7, "b c a d"), (8, None)], "row_id long, text string")
+    index = encode.word_index(rows, "text")
+    plan = index._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert [r.word for r in index.orderBy("idx").collect()] == ["d", "c", "b", "a"]
