@@ -1,5 +1,7 @@
 """Text rules on hand-written edge rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,17 @@ def test_padding(spark):
 def test_hash_slots_in_range(spark):
     slots = evaluate(spark, lambda c: S.hash_slots(F.split(c, " "), 8), "a b c d e f g h i j")[0]
     assert all(0 <= int(s) < 8 for s in slots)
+
+
+def test_distances_of_pairs_aligned_together(spark):
+    """Long words beside short ones, each pair in its place, as the expression gives them; nulls stay null."""
+    from pricemill.functions.alignment import aligned_distance, osa_distances
+    from pricemill.functions.distance import osa_distance
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab😀é") for _ in range(rng.choice([0, 1, 3, 6, 9, 65])))
+    pairs = [(word(), word()) for _ in range(400)] + [("ca", "abc"), (None, "a"), ("a", None), ("ab" * 150, "ba" * 150)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    found = rows.select(aligned_distance(F.col("a"), F.col("b")).alias("x"), osa_distance(F.col("a"), F.col("b")).alias("y")).collect()
+    assert all(r.x == r.y for r in found) and sum(r.x is None for r in found) == 2
+    assert osa_distances(["ab" * 1500, "", "abcd"], ["ba" * 1500, "abc", "badc"]).tolist() == [2, 3, 2]
