@@ -25,3 +25,11 @@ def test_features_are_answered_by_broadcast_as_far_as_there_is_room(spark, monke
     value = {(i, f): v * (math.log(14 / (1 + sizes[f])) + 1) for i, f, v in entries}
     norm = {i: math.sqrt(sum(v * v for (k, _), v in value.items() if k == i)) for i, _, _ in entries}
     assert weighted == pytest.approx({(i, f): v / norm[i] for (i, f), v in value.items()})
+
+
+def test_staged_features_hold_no_keys_and_are_packed_closest(spark):
+    features = spark.createDataFrame([(1, "a b", 1.0), (2, "a", 2.0)], "row_id long, feature string, value double")
+    keyed = X.keyed_features(features)
+    files = keyed.inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files) and spark.read.parquet(*files).columns == features.columns
+    assert {(r.feature, r.key) for r in keyed.collect()} == {tuple(r) for r in features.select("feature", F.xxhash64("feature")).collect()}
